@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 _EDGE = " \t\r\n\f\v ﻿​\"'"
 _ROOTED = re.compile(r"^(?:file:/*|[a-z]:/|/)", re.I)
-#: Already canonical but for letter case: handled inside the JVM.
-PLAIN = r"^data(?:/[A-Za-z0-9_åäöÅÄÖ][A-Za-z0-9_.åäöÅÄÖ-]*)+$"
+#: Already canonical but for letter case: handled inside the JVM (\z, as $ would allow a last line end).
+PLAIN = r"^data(?:/[A-Za-z0-9_åäöÅÄÖ][A-Za-z0-9_.åäöÅÄÖ-]*)+\z"
 
 
 def canonical(path: str | None, anchor: str = "data") -> str | None:
