@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("overlap",)
+MODULES = ("overlap", "matching")
 
 
 def query_modules() -> list:
