@@ -132,7 +132,7 @@ def with_halo(points: DataFrame, radius: float, cap: int = CAP, top: float = TOP
     own = F.array(F.struct(F.col("leaf"), F.col("blk"), F.lit(True).alias("core")))
     foreign = F.transform(F.coalesce(to, F.array()), lambda t: F.struct(t["leaf"].alias("leaf"), t["blk"].alias("blk"), F.lit(False).alias("core")))
     return (
-        pts.join(targets.withColumnsRenamed({"b": "leaf", "bblk": "blk"}), ["leaf", "blk"], "left")
+        pts.join(targets.select(F.col("b").alias("leaf"), F.col("bblk").alias("blk"), "to"), ["leaf", "blk"], "left")
         .withColumn("at", F.explode(F.concat(own, foreign)))
         .select(F.col("at.leaf").alias("owner"), F.col("at.blk").alias("oblk"), F.col("at.core").alias("core"), *points.columns)
     )
