@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("overlap", "matching")
+MODULES = ("overlap", "matching", "grouping")
 
 
 def query_modules() -> list:
