@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("overlap", "matching", "grouping")
+MODULES = ("overlap", "matching", "grouping", "spans")
 
 
 def query_modules() -> list:
