@@ -5,19 +5,16 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wetlens.functions.paths import canonical_path
+from wetlens.operators.binpack import packed
 from wetlens.session import written
 
 TARGET = 128 * 2**20
 #: Full bins a packing task makes, and files it may hold.
 BINS_PER_TASK, FILES_PER_TASK = 64, 100_000
-#: Bins filled to less than this share are packed again with those of other tasks.
-GOOD = 0.98
 
 
 def one_per_file(listing: DataFrame, suffix: str = ".npy") -> DataFrame:
@@ -64,44 +61,13 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return of, room[:used]
 
 
-_PACKED = T.StructType([T.StructField("id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bin", T.StringType()), T.StructField("full", T.BooleanType())])
-
-
 def pack(files: DataFrame, capacity: int = TARGET) -> DataFrame:
     """Bins by first-fit decreasing: (id, size, bin); ``files``: id (unique), size.
 
-    Files are dealt at random to tasks, each task packs its own share, and the files of
-    bins that stayed badly filled are dealt again to fewer tasks, until one task is left.
     Each file comes out once, a file above capacity in a bin of its own.  NULL sizes
     count as 0.  An empty table gives no bins.
     """
-    todo = written(files.select(F.col("id").cast("long").alias("id"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size")), "files")
-    done: list[DataFrame] = []
-    before = None
-    while True:
-        n, total = todo.agg(F.count("*"), F.sum("size")).first()
-        tasks = max(1, -(-(total or 0) // (capacity * BINS_PER_TASK)), -(-n // FILES_PER_TASK))
-        if before is not None:
-            tasks = min(tasks, max(1, before // 2))
-        last, turn = tasks == 1, len(done)
-
-        def fit(key: tuple, table: pa.Table) -> pa.Table:
-            sizes = table.column("size").to_numpy()
-            of, room = first_fit_decreasing(sizes, capacity)
-            full = (room <= capacity * (1 - GOOD)) | last
-            return pa.table({"id": table.column("id"), "size": table.column("size"), "bin": [f"{turn}-{key[0].as_py()}-{b}" for b in of], "full": full[of]})
-
-        packed = todo.withColumn("task", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(tasks))).groupBy("task").applyInArrow(fit, _PACKED)
-        if last:
-            done.append(packed.select("id", "size", "bin"))
-            break
-        packed = written(packed, "packed")
-        done.append(packed.filter("full").select("id", "size", "bin"))
-        todo, before = packed.filter(~F.col("full")).select("id", "size"), tasks
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    return packed(files, capacity, first_fit_decreasing, BINS_PER_TASK, FILES_PER_TASK)
 
 
 def compact(spark: SparkSession, source: str, target: str, capacity: int = TARGET, glob: str = "*.npy") -> DataFrame:
