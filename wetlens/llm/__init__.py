@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("overlap", "matching", "grouping", "spans")
+MODULES = ("overlap", "matching", "grouping", "packing", "mixing", "spans")
 
 
 def query_modules() -> list:
