@@ -79,6 +79,15 @@ def candidates(boxes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return boxes.filter(F.col("confidence").isNotNull() & ~F.isnan("confidence") & (F.col("confidence") >= threshold))
 
 
+def window_cells(boxes: DataFrame, rasters: DataFrame) -> DataFrame:
+    """boxes with r and c, one row per grid cell of half a window that a box covers."""
+    g = boxes.drop("x0", "y0", "res").join(rasters.select("path", "x0", "y0", "res"), "path")
+    step = F.col("res") * STRIDE
+    first = lambda v: F.floor(v / step + 1e-9).cast("long")
+    last = lambda v: F.ceil(v / step - 1e-9).cast("long") - 1
+    return g.withColumn("r", F.explode(F.sequence(first(F.col("y0") - F.col("ymax")), last(F.col("y0") - F.col("ymin"))))).withColumn("c", F.explode(F.sequence(first(F.col("xmin") - F.col("x0")), last(F.col("xmax") - F.col("x0"))))).drop("x0", "y0", "res")
+
+
 def merge_windows(boxes: DataFrame, rasters: DataFrame, keys: list[str], min_area: float = MIN_AREA_M2) -> DataFrame:
     """Regions of overlapping candidate windows: keys, comp, area_m2, confidence, n_candidates.
 
@@ -87,11 +96,7 @@ def merge_windows(boxes: DataFrame, rasters: DataFrame, keys: list[str], min_are
     cells cut by the raster's edge count by what is inside.  Confidence is the mean over
     all candidates that touch the region, corners included.
     """
-    g = boxes.join(rasters.select("path", "x0", "y0", "res", "width", "height"), "path")
-    step = F.col("res") * STRIDE
-    first = lambda v: F.floor(v / step + 1e-9).cast("long")
-    last = lambda v: F.ceil(v / step - 1e-9).cast("long") - 1
-    g = g.withColumn("r", F.explode(F.sequence(first(F.col("y0") - F.col("ymax")), last(F.col("y0") - F.col("ymin"))))).withColumn("c", F.explode(F.sequence(first(F.col("xmin") - F.col("x0")), last(F.col("xmax") - F.col("x0")))))
+    g = window_cells(boxes, rasters)
     comps = components(g.select(*keys, "r", "c"), *keys)
     size = lambda n, at: F.greatest(F.lit(0), F.least(F.lit(STRIDE), F.col(n) - F.col(at) * STRIDE)) * F.col("res")
     area = comps.join(rasters.select("path", "res", "width", "height"), "path").groupBy(*keys, "comp").agg(F.sum(size("height", "r") * size("width", "c")).alias("area_m2"))
