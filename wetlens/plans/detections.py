@@ -14,7 +14,7 @@ from wetlens.operators.agreement import first_match, meeting
 from wetlens.operators.windows import usable
 from wetlens.functions import spectral
 from wetlens.plans.proxies import GRID_SQL, grid, px
-from wetlens.session import load
+from wetlens.session import load, written
 
 CUT, CELL_M2 = 0.8, 1024.0
 
@@ -132,8 +132,10 @@ def win_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mdl_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions of a forest trained on the pixel chips; label 1 where water outweighs plants."""
-    chips = spectral.features(px(spark, sf_dir), "chip").withColumn("label", (F.col("features")[33] > F.lit(0.0)).cast("int"))
+    """Predictions of a forest trained on the pixel chips; label 1 where near infrared is above the mean."""
+    chips = written(spectral.features(px(spark, sf_dir), "chip"), "chips")
+    bright = F.col("features")[18]
+    chips = chips.withColumn("label", (bright > F.lit(chips.agg(F.avg(bright)).first()[0])).cast("int"))
     model = forest.train(chips, trees=20, depth=5)
     return forest.predict(model, chips).select("chip", "label", "predicted", F.round("confidence", 6).alias("confidence"))
 
@@ -144,7 +146,7 @@ _CC = f"""WITH RECURSIVE {_DENSE}, k AS (SELECT tile, r, c, r * 2147483648 + c A
  t(tile, u, v) AS (SELECT tile, id, id FROM k UNION SELECT t.tile, t.u, e.v FROM t JOIN e ON t.tile = e.tile AND t.v = e.u),
  cc AS (SELECT tile, u, min(v) AS comp FROM t GROUP BY 1, 2), comps AS (SELECT k.tile, k.r, k.c, cc.comp FROM k JOIN cc ON k.tile = cc.tile AND k.id = cc.u)"""
 _BOX = """b AS (SELECT path, model, xmin, ymin, xmax, ymax, min(cand_id) AS cand_id, arg_min(confidence, cand_id) AS confidence FROM candidate
-  WHERE confidence IS NOT NULL AND NOT isnan(confidence) AND confidence >= 0.5 GROUP BY 1, 2, 3, 4, 5, 6)"""
+  WHERE confidence IS NOT NULL AND cast(confidence AS VARCHAR) <> 'nan' AND confidence >= 0.5 GROUP BY 1, 2, 3, 4, 5, 6)"""
 _PAIR = f"""{_BOX}, p AS (SELECT a.path, a.cand_id AS rf_id, c.cand_id AS cnn_id, greatest(a.confidence, c.confidence) AS confidence,
     (a.xmax - a.xmin) * (a.ymax - a.ymin) + (c.xmax - c.xmin) * (c.ymax - c.ymin) - greatest(0, least(a.xmax, c.xmax) - greatest(a.xmin, c.xmin)) * greatest(0, least(a.ymax, c.ymax) - greatest(a.ymin, c.ymin)) AS area_m2
   FROM b a JOIN b c ON a.path = c.path AND a.model = 'rf' AND c.model = 'cnn' AND a.xmin <= c.xmax AND c.xmin <= a.xmax AND a.ymin <= c.ymax AND c.ymin <= a.ymax),
@@ -174,7 +176,7 @@ _W = f"""WITH RECURSIVE {_BOX}, ra AS (SELECT DISTINCT path, x0, y0, res, width,
  tc AS (SELECT DISTINCT h.path, h.model, comp, cand_id, confidence FROM h JOIN cm ON h.path = cm.path AND h.model = cm.model AND abs(h.r - cm.r) <= 1 AND abs(h.c - cm.c) <= 1)
  SELECT path, model, comp, area_m2, count(*) AS n_candidates, round(avg(confidence), 6) AS confidence FROM ar JOIN tc USING (path, model, comp) WHERE area_m2 >= 500 GROUP BY 1, 2, 3, 4"""
 SQL = {
-    "flt_candidates": "SELECT cand_id, model, confidence FROM candidate WHERE confidence >= 0.7 AND NOT isnan(confidence)",
+    "flt_candidates": "SELECT cand_id, model, confidence FROM candidate WHERE confidence >= 0.7 AND cast(confidence AS VARCHAR) <> 'nan'",
     "flt_dense_threshold": f"WITH g AS ({GRID_SQL}) SELECT tile, count(*) AS n, round(avg(p), 6) AS mean_p FROM g WHERE cast(p AS FLOAT) >= cast(0.7 AS FLOAT) GROUP BY 1",
     "cc_components": f"{_CC} SELECT tile, r, c, comp FROM comps",
     "roi_area_conf": f"{_CC} SELECT comps.tile, comp, count(*) AS n_cells, count(*) * cast(1024 AS double) AS area_m2, round(avg(p), 6) AS confidence FROM comps JOIN g ON g.tile = comps.tile AND g.r = comps.r AND g.c = comps.c GROUP BY 1, 2 HAVING count(*) * 1024 >= 2000",

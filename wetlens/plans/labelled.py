@@ -121,9 +121,9 @@ SQL = {
       k AS (SELECT label_id, {_TYPE} AS feature_type FROM p) SELECT label_id, feature_type, round(e, 3) AS x, round(n, 3) AS y FROM grid JOIN k USING (label_id) WHERE feature_type NOT IN ('lodge', 'dam')""",
     "fn_label_map": f"SELECT row_idx, CASE {_CASE} ELSE 2 END AS label, least(CASE {_CASE} ELSE 2 END, 1) AS flooded FROM manifest",
     "agg_by_type": "SELECT feature_type, count(*) AS n_rows FROM manifest WHERE label = 1 GROUP BY 1",
-    "fn_tier": "SELECT roi_idx, CASE WHEN confidence >= 0.8 AND NOT isnan(confidence) THEN 'high' WHEN confidence >= 0.6 AND NOT isnan(confidence) THEN 'medium' ELSE 'low' END AS tier FROM roi",
+    "fn_tier": "SELECT roi_idx, CASE WHEN confidence >= 0.8 AND cast(confidence AS VARCHAR) <> 'nan' THEN 'high' WHEN confidence >= 0.6 AND cast(confidence AS VARCHAR) <> 'nan' THEN 'medium' ELSE 'low' END AS tier FROM roi",
     "fn_placemark": """WITH r AS (SELECT *, coalesce(model_type IN ('rf', 'cnn', 'both'), false) AS known, 'Flooded area ' || roi_idx AS n, format('Confidence: {:.2f}' || chr(10) || 'Area: {:.0f} m²', confidence, area_m2) AS t FROM roi
-        WHERE confidence IS NOT NULL AND area_m2 IS NOT NULL AND NOT isnan(confidence) AND NOT isnan(area_m2))
+        WHERE confidence IS NOT NULL AND area_m2 IS NOT NULL AND cast(confidence AS VARCHAR) <> 'nan' AND cast(area_m2 AS VARCHAR) <> 'nan')
       SELECT roi_idx, CASE WHEN known THEN n || ' [' || upper(model_type) || ']' ELSE n END AS name, CASE WHEN known THEN 'Model: ' || upper(model_type) || chr(10) || t ELSE t END AS description,
         CASE WHEN known THEN '#model_' || model_type ELSE '#flood_' || CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END END AS style FROM r""",
     "agg_area": """WITH v AS (SELECT roi_idx, area_m2, unnest(geom) AS p, unnest(range(len(geom))) AS i FROM roi), w AS (SELECT a.roi_idx, sum(a.p.x * b.p.y - b.p.x * a.p.y) AS s FROM v a JOIN v b ON a.roi_idx = b.roi_idx AND b.i = a.i + 1 GROUP BY 1)
