@@ -72,7 +72,7 @@ def anchors(codes: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarra
     """Positions and hashes of a text's anchors.
 
     Of an anchor that overlaps itself again and again (periodic text) the two first and
-    two last occurrences are kept.
+    two last occurrences are kept, and some between, no farther apart than an anchor.
     """
     if len(codes) < span:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -89,7 +89,8 @@ def anchors(codes: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarra
         first = np.flatnonzero(~chained)
         length = np.bincount(chain)[1:]
         rank = np.arange(len(p)) - first[chain - 1]
-        keep = (rank < 2) | (rank >= length[chain - 1] - 2)
+        step = (p - p[first[chain - 1]]) // (k // 2)
+        keep = (rank < 2) | (rank >= length[chain - 1] - 2) | np.concatenate([[True], step[1:] != step[:-1]])
         order = np.sort(order[keep])
         pos, hash_ = pos[order], hash_[order]
     return pos, hash_
