@@ -55,7 +55,7 @@ def components(points: DataFrame, radius: float = RADIUS, cap: int = CAP) -> Dat
     foreign = local.filter("not core").select("id", F.col("label").alias("v"))
     edges = core.select("id", F.col("label").alias("u")).join(foreign, "id").select("u", "v")
     if "known" in points.columns:
-        edges = edges.unionByName(core.join(points.select("id", "known"), "id").filter("known is not null").select(F.col("label").alias("u"), F.col("known").alias("v")))
+        edges = edges.unionByName(core.join(points.select("id", "known"), "id").filter("known != label").select(F.col("label").alias("u"), F.col("known").alias("v")))
     roots = connected(edges)
     return core.join(roots.withColumnRenamed("node", "label"), "label", "left").select("id", F.coalesce("root", "label").alias("component"), (F.col("linked") | F.col("root").isNotNull()).alias("linked"))
 
