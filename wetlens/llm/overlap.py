@@ -21,13 +21,13 @@ HOT = 10_000
 def canonical_records(manifest: DataFrame) -> DataFrame:
     """(id, held, h1, h2, e, n) of the train and evaluation rows.
 
-    ``h1, h2``: 96 bits of hash of the canonical path, NULL without a path; ``e, n``: the
+    ``h1, h2``: 96 bits of hash of the canonical path, NULL without a path or a blank one; ``e, n``: the
     position, NULL without one.  Rows of other or no splits are left out.
     """
     s = manifest.select(
         F.col("row_idx").cast("long").alias("id"), F.col("subset").isin(*EVAL).alias("held"), canonical_path(F.col("path")).alias("p"), position(F.col("x"), F.col("y")).alias("at"), F.col("subset")
     ).filter(F.col("subset").isin(*TRAIN, *EVAL))
-    has = F.col("p").isNotNull()
+    has = F.col("p").isNotNull() & (F.col("p") != "")
     return s.select("id", "held", F.when(has, F.xxhash64("p")).alias("h1"), F.when(has, F.hash("p").bitwiseAND(2**31 - 1)).alias("h2"), F.col("at.e").alias("e"), F.col("at.n").alias("n"))
 
 
@@ -52,7 +52,7 @@ def overlap_pairs(manifest: DataFrame, radius: float = RADIUS, hot: int = HOT) -
 
     Hashes of the canonical path and of the cells around a position are joined; a pair
     by place counts if the positions are at most ``radius`` apart.  Each pair comes once.
-    NULL paths equal nothing, rows without a position are near nothing; repeated rows
+    NULL and blank paths equal nothing, rows without a position are near nothing; repeated rows
     all count; other columns are ignored.  Keys with more than ``hot`` rows on a side are
     cut into blocks, and each block of one side meets each of the other in its own task.
     """
