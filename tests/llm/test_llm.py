@@ -282,6 +282,15 @@ def test_shared_spans_against_brute_force(spark, hot):
     for r in s.stretches().collect():
         per[r["doc"]] = per.get(r["doc"], 0) + r["end"] - r["start"]
     assert {k: per.get(k, 0) for k in rows} == cover
+    if hot == 1:
+        parse: dict = {}
+        for r in s.parse().collect():
+            parse.setdefault(r["doc"], []).append((r["start"], r["end"]))
+            assert rows[r["doc"]][r["start"] : r["end"]] in rows[r["other"]] and r["other"] != r["doc"]
+        for k, v in parse.items():
+            v.sort()
+            assert all(a[1] <= b[0] for a, b in zip(v, v[1:])) and sum(e - a for a, e in v) == cover[k]
+        assert set(parse) == {k for k in rows if cover[k]}
 
 
 def test_shared_spans_of_many_copies_and_quotes(spark):

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,6 +107,11 @@ _FACTORS = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b")] + [
 _KEYS = T.StructType([T.StructField(n, T.LongType()) for n in ("k1", "k2", "cls")] + [T.StructField("shift", T.IntegerType())])
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f.name for f in _AROUND.fields])
+
+
 def factors(table: pa.Table, span: int, k: int) -> pa.Table:
     """The factors of ``span`` or more characters between the texts of one block.
 
@@ -186,7 +192,8 @@ class Shared:
         hashed = texts.filter(F.length("text") >= span).select("doc", *key, F.length("text").alias("n"))
         reps = hashed.groupBy("sha").agg(F.min("doc").alias("rep"))
         self.members = written(hashed.join(reps, "sha").select("doc", "rep", "n"), "members")
-        texts = texts.join(self.members.filter("doc = rep").select("doc"), "doc", "left_semi")
+        # copies are few or many, texts are large: leaving copies out moves no text if they are few
+        texts = texts.filter(F.length("text") >= span).join(self.members.filter("doc != rep").select("doc"), "doc", "left_anti")
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -205,14 +212,18 @@ class Shared:
         side = span - k
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows: list[tuple] = []
             for b in batches:
                 for d, s, at in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), b.column("at").to_pylist()):
-                    p = [x["pos"] for x in at]
-                    lead = [min(side, x) for x in p]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([d] * len(p), pa.int64()), pa.array(p, pa.int32()), pa.array([x["hash"] for x in at], pa.int64()), pa.array(lead, pa.int32()), pa.array([s[x - y : x + k + side] for x, y in zip(p, lead)], pa.string()), pa.array([x["hot"] for x in at], pa.bool_())],
-                        names=[f.name for f in _AROUND.fields],
-                    )
+                    for x in at:
+                        p = x["pos"]
+                        lead = min(side, p)
+                        rows.append((d, p, x["hash"], lead, s[p - lead : p + k + side], x["hot"]))
+                    if len(rows) >= 10_000:
+                        yield _batch(rows)
+                        rows = []
+            if rows:
+                yield _batch(rows)
 
         around = written(texts.join(kept, "doc").mapInArrow(cut, _AROUND), "around")
         blocks = max(1, -(-around.filter("not hot").count() // BLOCK))
@@ -268,14 +279,58 @@ class Shared:
         parts = parts.select("rep", "s", (F.col("s") + F.col("len")).alias("e"))
         copied = self.members.groupBy("rep").agg(F.count("*").alias("m"), F.min("n").alias("e")).filter("m > 1").select("rep", F.lit(0).alias("s"), F.col("e"))
         each = parts.unionByName(copied).groupBy("rep", "s").agg(F.max("e").alias("e"))
-        from pyspark.sql import Window as W
-
         w = W.partitionBy("rep").orderBy("s")
         marked = each.withColumn("new", (F.col("s") > F.coalesce(F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
         merged = marked.withColumn("g", F.sum("new").over(w)).groupBy("rep", "g").agg(F.min("s").alias("start"), F.max("e").alias("end"))
         return self.members.join(merged, "rep").select("doc", "start", "end")
 
 
+    def maximal(self) -> DataFrame:
+        """(a, b, a0, b0, len): the factors between representatives, joined where those of one alignment meet."""
+        w = W.partitionBy("a", "b", "d").orderBy("s")
+        f = self.factors.select("a", "b", (F.col("a0") - F.col("b0")).alias("d"), F.col("a0").alias("s"), (F.col("a0") + F.col("len")).alias("e")).groupBy("a", "b", "d", "s").agg(F.max("e").alias("e"))
+        new = (F.col("s") > F.coalesce(F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))).cast("int")
+        one = f.withColumn("new", new).withColumn("g", F.sum("new").over(w)).groupBy("a", "b", "d", "g").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+        return one.select("a", "b", F.col("s").alias("a0"), (F.col("s") - F.col("d")).alias("b0"), (F.col("e") - F.col("s")).alias("len"))
+
+    def parse(self) -> DataFrame:
+        """(doc, start, end, other): the greedy parse of each text relative to the others.
+
+        From left to right, the factor that reaches farthest is taken, then the one that
+        reaches farthest from its end, which may have begun before that boundary; where no
+        factor goes on, the parse skips to the next one.  ``other`` is a text that has the
+        factor; of an exact copy the whole text is one factor.
+        """
+        f = self.maximal()
+        ends = f.select(F.col("a").alias("rep"), F.col("a0").alias("s"), F.col("len"), F.col("b").alias("other")).unionByName(f.select(F.col("b").alias("rep"), F.col("b0").alias("s"), F.col("len"), F.col("a").alias("other")))
+        # of the factors that begin at one place only the longest can be taken, so a task holds at most one per character
+        best = ends.groupBy("rep", "s").agg(F.max(F.struct((F.col("s") + F.col("len")).alias("e"), (-F.col("other")).alias("neg"))).alias("m")).select("rep", "s", F.col("m.e").alias("e"), (-F.col("m.neg")).alias("other"))
+
+        def greedy(table: pa.Table) -> pa.Table:
+            t = table.sort_by("s")
+            rep = t.column("rep")[0].as_py()
+            out: list[tuple] = []
+            at, reach, source = -1, -1, -1
+            for s, e, o in zip(t.column("s").to_pylist(), t.column("e").to_pylist(), t.column("other").to_pylist()):
+                while s > at and reach > at >= 0:
+                    out.append((rep, at, reach, source))
+                    at = reach
+                if at < 0 or s > at:
+                    at = s
+                if e > reach:
+                    reach, source = e, o
+            while reach > at >= 0:
+                out.append((rep, at, reach, source))
+                at = reach
+            return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate((("rep", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("other", pa.int64())))})
+
+        parsed = best.groupBy("rep").applyInArrow(greedy, "rep long, start int, end int, other long")
+        classes = self.members.groupBy("rep").agg(F.count("*").alias("m"), F.min(F.when(F.col("doc") != F.col("rep"), F.col("doc"))).alias("second"))
+        single = self.members.join(classes.filter("m = 1").select("rep"), "rep", "left_semi").join(parsed, "rep").select("doc", "start", "end", "other")
+        copies = self.members.join(classes.filter("m > 1"), "rep").select("doc", F.lit(0).alias("start"), F.col("n").alias("end"), F.when(F.col("doc") == F.col("rep"), F.col("second")).otherwise(F.col("rep")).alias("other"))
+        return single.unionByName(copies)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of texts with a stretch of at least 200 characters in common."""
     return Shared(load(spark, sf_dir, "documents")).pairs()
@@ -286,6 +341,11 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Shared(load(spark, sf_dir, "documents")).stretches().select(F.col("doc").alias("doc_id"), "start", "end")
 
 
+def p8_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greedy parse of each text relative to the others, in factors of at least 200 characters."""
+    return Shared(load(spark, sf_dir, "documents")).parse().select(F.col("doc").alias("doc_id"), "start", "end", "other")
+
+
 def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each text is shared elsewhere."""
     d = load(spark, sf_dir, "documents")
@@ -296,5 +356,5 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("doc_id", "n_chars", F.coalesce("n_spans", F.lit(0)).alias("n_spans"), shared.alias("shared_chars"), F.when(F.col("n_chars") > 0, shared / F.col("n_chars")).otherwise(F.lit(0.0)).alias("share"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_spans": p8_spans, "p8_shared": p8_shared}
+QUERIES = {"p8_found": p8_found, "p8_spans": p8_spans, "p8_factors": p8_factors, "p8_shared": p8_shared}
 SQL: dict[str, str] = {}
