@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wetlens.constants import EPSG, STREAM_BUFFER_M, STRIDE, TILE
 from wetlens.session import written
 
-CELL = 512.0
+CELL = 256.0
 _EDGES = ("xmin", "ymin", "xmax", "ymax")
 
 
@@ -24,8 +24,10 @@ def usable(rasters: DataFrame) -> DataFrame:
 def windows(rasters: DataFrame, size: int = TILE, stride: int = STRIDE) -> DataFrame:
     """Every window: path, row_off, col_off, w, h (cut at the edge), res and its box in metres.
 
-    A raster without rows or columns has none.
+    A raster without rows or columns has none.  Rasters are few bytes but many windows,
+    so they are dealt to all cores first, by a number that is not coalesced by size.
     """
+    rasters = rasters.repartition(rasters.sparkSession.sparkContext.defaultParallelism, "path")
     offs = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1, F.lit(stride)))
     w = rasters.select("path", "x0", "y0", "res", "width", "height", F.explode(offs("height")).alias("row_off")).withColumn("col_off", F.explode(offs("width")))
     w = w.withColumn("w", F.least(F.lit(size), F.col("width") - F.col("col_off"))).withColumn("h", F.least(F.lit(size), F.col("height") - F.col("row_off")))
@@ -77,7 +79,19 @@ def near_segments(boxes: DataFrame, segments: DataFrame, keys: list[str], buffer
     b = b.withColumn("cx", span(F.col("xmin") - buffer, F.col("xmax") + buffer)).withColumn("cy", span(F.col("ymin") - buffer, F.col("ymax") + buffer))
     s = segments.select("x1", "y1", "x2", "y2").filter("x1 is not null and y1 is not null and x2 is not null and y2 is not null").distinct()
     s = s.withColumn("cx", span(F.least("x1", "x2"), F.greatest("x1", "x2"))).withColumn("cy", span(F.least("y1", "y2"), F.greatest("y1", "y2")))
-    hit = (F.col("b.cx") == F.col("s.cx")) & (F.col("b.cy") == F.col("s.cy")) & F.expr(f"{distance2_sql(tuple(f'b.{e}' for e in _EDGES), ('s.x1', 's.y1', 's.x2', 's.y2'))} <= {buffer * buffer}")
+    # the boxes around both first: most pairs of a cell need no distance
+    reach = (F.greatest("s.x1", "s.x2") >= F.col("b.xmin") - buffer) & (F.least("s.x1", "s.x2") <= F.col("b.xmax") + buffer) & (F.greatest("s.y1", "s.y2") >= F.col("b.ymin") - buffer) & (F.least("s.y1", "s.y2") <= F.col("b.ymax") + buffer)
+    # then the distance of the box's centre, which settles all but a ring of half a diagonal around the buffer
+    px, py = (F.col("b.xmin") + F.col("b.xmax")) / 2, (F.col("b.ymin") + F.col("b.ymax")) / 2
+    ux, uy = F.col("s.x2") - F.col("s.x1"), F.col("s.y2") - F.col("s.y1")
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - F.col("s.x1")) * ux + (py - F.col("s.y1")) * uy) / F.greatest(F.lit(1e-12), ux * ux + uy * uy)))
+    dx, dy = px - F.col("s.x1") - t * ux, py - F.col("s.y1") - t * uy
+    centre = F.sqrt(dx * dx + dy * dy)
+    half = F.sqrt((F.col("b.xmax") - F.col("b.xmin")) ** 2 + (F.col("b.ymax") - F.col("b.ymin")) ** 2) / 2
+    # the long exact expression stays out of the generated method, which the JVM would not compile with it
+    exact = F.expr(f"exists(array(0.0d), z -> z + {distance2_sql(tuple(f'b.{e}' for e in _EDGES), ('s.x1', 's.y1', 's.x2', 's.y2'))} <= {buffer * buffer})")
+    near = (centre <= buffer) | ((centre <= half + F.lit(buffer)) & exact)
+    hit = (F.col("b.cx") == F.col("s.cx")) & (F.col("b.cy") == F.col("s.cy")) & reach & near
     return b.alias("b").join(s.alias("s"), hit, "left_semi").select(*keys).distinct()
 
 
