@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from wetlens.functions.paths import canonical, canonical_path
 from wetlens.operators import dualtree
+from wetlens.operators import binpack, compaction
 from wetlens.operators.binpack import packed
-from wetlens.operators.compaction import compact, first_fit_decreasing, one_per_file, pack
+from wetlens.operators.compaction import compact, consolidated, first_fit_decreasing, one_per_file, pack
 from wetlens.operators.graph import connected
 from wetlens.operators.near import containing, near_pairs
 from wetlens.session import shared_dir, written
@@ -137,6 +138,18 @@ def test_packing_in_rounds(spark):
     assert pack(d.limit(0)).count() == 0
 
 
+def test_no_packing_task_exceeds_its_bound(spark, monkeypatch):
+    """Items of which no two fit one bin, ten times what a task may hold: they stay as they are after a turn."""
+    turns = []
+    turn = binpack._turn
+    monkeypatch.setattr(binpack, "_turn", lambda *a: turns.append(a[3]) or turn(*a))
+    d = spark.range(4000).select("id", F.lit(60).alias("size"))
+    got = packed(d, 100, first_fit_decreasing, 10_000, 400)
+    assert got.count() == got.select("bin").distinct().count() == 4000 and len(turns) == 1
+    dealt = d.groupBy(F.pmod(F.xxhash64("id", F.lit(0)), F.lit(turns[0]))).count()
+    assert dealt.agg(F.max("count")).first()[0] <= 400
+
+
 def test_one_row_per_file(spark):
     import datetime as dt
 
@@ -158,11 +171,28 @@ def test_compaction(spark, tmp_path):
     (tmp_path / "in/skip.txt").write_text("x")
     report = compact(spark, str(tmp_path / "in"), str(tmp_path / "out"), 8000)
     assert report.agg(F.sum("files")).first()[0] == 30 and report.agg(F.max("bytes")).first()[0] <= 8000
-    back = spark.read.parquet(str(tmp_path / "out"))
+    back = consolidated(spark, str(tmp_path / "out"))
     assert {r["path"].rpartition("/")[2]: bytes(r["content"]) for r in back.collect()} == want
+    with pytest.raises(Exception):
+        compact(spark, str(tmp_path / "in"), str(tmp_path / "out"), 8000)
+    assert len(list(tmp_path.glob("out/run-*"))) == 1 and consolidated(spark, str(tmp_path / "out")).count() == 30
+
+
+def test_compaction_notices_swapped_contents(spark, tmp_path, monkeypatch):
+    """Two files of one bin that swap contents leave number and bytes as they are."""
+    for n in "ab":
+        (tmp_path / f"in/{n}.npy").parent.mkdir(exist_ok=True)
+        (tmp_path / f"in/{n}.npy").write_bytes(n.encode() * 50)
+    rows = compaction._rows
+
+    def swapped(spark, folder):
+        r = rows(spark, folder)
+        return r.withColumn("content", F.when(F.col("path").endswith("a.npy"), F.lit(b"b" * 50)).otherwise(F.lit(b"a" * 50)))
+
+    monkeypatch.setattr(compaction, "_rows", swapped)
     with pytest.raises(ValueError):
         compact(spark, str(tmp_path / "in"), str(tmp_path / "out"), 8000)
-    assert not list(tmp_path.glob("out.staging*"))
+    assert not list(tmp_path.glob("out/*"))
 
 
 def test_written_tables_live_in_the_shared_folder(spark):

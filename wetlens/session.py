@@ -42,3 +42,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and its class of paths."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
+
+
+def create(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, created in one step; fails if it is there already.
+
+    The commit of a table: readers see the old list of folders or the new one.
+    """
+    fs, of = file_system(spark, path)
+    out = fs.create(of(path), False)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    fs, of = file_system(spark, path)
+    size = fs.getFileStatus(of(path)).getLen()
+    stream = fs.open(of(path))
+    data = bytes(stream.readNBytes(size))
+    stream.close()
+    return data.decode("utf-8")
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that :func:`written` made and nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            fs, of = file_system(spark, path)
+            fs.delete(of(path), True)
