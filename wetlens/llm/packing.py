@@ -11,7 +11,7 @@ from wetlens.operators.binpack import packed
 from wetlens.session import load, written
 
 #: Containers a packing task fills, and items it may hold.
-BINS_PER_TASK, ITEMS_PER_TASK = 1_000, 100_000
+BINS_PER_TASK, ITEMS_PER_TASK = 1_000, 20_000
 
 
 class _Stock:
