@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,11 @@ def components(cells: DataFrame, *keys: str) -> DataFrame:
     return dealt.groupBy(*keys).applyInArrow(label, schema)
 
 
+def exact_mean(v) -> Column:
+    """The mean of values of up to 12 decimals, the same whatever the order they are added in."""
+    return F.sum(v.cast("decimal(28,12)")).cast("double") / F.count(v)
+
+
 def dense_cells(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Patches whose probability, as float32, reaches the threshold; NULL and NaN are 0."""
     if not 0 < threshold <= 1:
@@ -69,7 +74,7 @@ def score_regions(scores: DataFrame, keys: list[str], cell_m2: float, threshold:
         around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
         at = comps.withColumn("d", F.explode(around)).select(*keys, "comp", (F.col("r") + F.col("d.i")).alias("r"), (F.col("c") + F.col("d.j")).alias("c")).distinct()
     p = F.coalesce(F.nanvl(F.col("p"), F.lit(0.0)), F.lit(0.0))
-    conf = at.join(scores.select(*keys, "r", "c", p.alias("p")), [*keys, "r", "c"]).groupBy(*keys, "comp").agg(F.avg("p").alias("confidence"))
+    conf = at.join(scores.select(*keys, "r", "c", p.alias("p")), [*keys, "r", "c"]).groupBy(*keys, "comp").agg(exact_mean(F.col("p")).alias("confidence"))
     out = areas.join(conf, [*keys, "comp"], "left").withColumn("area_m2", F.col("n_cells") * F.lit(float(cell_m2)))
     return out.filter(F.col("area_m2") >= min_area).select(*keys, "comp", "n_cells", "area_m2", F.coalesce("confidence", F.lit(float(threshold))).alias("confidence"))
 

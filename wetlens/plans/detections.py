@@ -32,7 +32,7 @@ def flt_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flt_dense_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patches at or above the threshold, per tile."""
-    return R.dense_cells(grid(spark, sf_dir), 0.7).groupBy("tile").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))
+    return R.dense_cells(grid(spark, sf_dir), 0.7).groupBy("tile").agg(F.count("*").alias("n"), F.round(R.exact_mean(F.col("p")), 6).alias("mean_p"))
 
 
 def cc_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,13 +175,15 @@ _W = f"""WITH RECURSIVE {_BOX}, ra AS (SELECT DISTINCT path, x0, y0, res, width,
  ar AS (SELECT cm.path, cm.model, comp, sum(greatest(0, least(256, height - r * 256)) * res * greatest(0, least(256, width - c * 256)) * res) AS area_m2 FROM cm JOIN ra USING (path) GROUP BY 1, 2, 3),
  tc AS (SELECT DISTINCT h.path, h.model, comp, cand_id, confidence FROM h JOIN cm ON h.path = cm.path AND h.model = cm.model AND abs(h.r - cm.r) <= 1 AND abs(h.c - cm.c) <= 1)
  SELECT path, model, comp, area_m2, count(*) AS n_candidates, round(avg(confidence), 6) AS confidence FROM ar JOIN tc USING (path, model, comp) WHERE area_m2 >= 500 GROUP BY 1, 2, 3, 4"""
+#: A mean that does not depend on the order of its rows.
+_MEAN_P = "cast(sum(cast(p AS DECIMAL(28, 12))) AS DOUBLE) / count(p)"
 SQL = {
     "flt_candidates": "SELECT cand_id, model, confidence FROM candidate WHERE confidence >= 0.7 AND cast(confidence AS VARCHAR) <> 'nan'",
-    "flt_dense_threshold": f"WITH g AS ({GRID_SQL}) SELECT tile, count(*) AS n, round(avg(p), 6) AS mean_p FROM g WHERE cast(p AS FLOAT) >= cast(0.7 AS FLOAT) GROUP BY 1",
+    "flt_dense_threshold": f"WITH g AS ({GRID_SQL}) SELECT tile, count(*) AS n, round({_MEAN_P}, 6) AS mean_p FROM g WHERE cast(p AS FLOAT) >= cast(0.7 AS FLOAT) GROUP BY 1",
     "cc_components": f"{_CC} SELECT tile, r, c, comp FROM comps",
-    "roi_area_conf": f"{_CC} SELECT comps.tile, comp, count(*) AS n_cells, count(*) * cast(1024 AS double) AS area_m2, round(avg(p), 6) AS confidence FROM comps JOIN g ON g.tile = comps.tile AND g.r = comps.r AND g.c = comps.c GROUP BY 1, 2 HAVING count(*) * 1024 >= 2000",
+    "roi_area_conf": f"{_CC} SELECT comps.tile, comp, count(*) AS n_cells, count(*) * cast(1024 AS double) AS area_m2, round({_MEAN_P}, 6) AS confidence FROM comps JOIN g ON g.tile = comps.tile AND g.r = comps.r AND g.c = comps.c GROUP BY 1, 2 HAVING count(*) * 1024 >= 2000",
     "roi_zonal_mean": f"""{_CC}, big AS (SELECT tile, comp FROM comps GROUP BY 1, 2 HAVING count(*) * 1024 >= 2000),
-      z AS (SELECT DISTINCT comps.tile, comp, g.r, g.c, g.p FROM comps JOIN big USING (tile, comp) JOIN g ON g.tile = comps.tile AND abs(g.r - comps.r) <= 1 AND abs(g.c - comps.c) <= 1) SELECT tile, comp, round(avg(p), 6) AS confidence FROM z GROUP BY 1, 2""",
+      z AS (SELECT DISTINCT comps.tile, comp, g.r, g.c, g.p FROM comps JOIN big USING (tile, comp) JOIN g ON g.tile = comps.tile AND abs(g.r - comps.r) <= 1 AND abs(g.c - comps.c) <= 1) SELECT tile, comp, round({_MEAN_P}, 6) AS confidence FROM z GROUP BY 1, 2""",
     "roi_merge_windows": _W,
     "jn_merge_first_match": f"WITH {_PAIR} SELECT path, rf_id, cnn_id, model_type, round(confidence, 6) AS confidence, area_m2 FROM m",
     "agg_merge_counts": f"WITH {_PAIR} SELECT model_type, count(*) AS n FROM m GROUP BY 1",
