@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wetlens.functions.paths import canonical, canonical_path
 from wetlens.operators import dualtree
-from wetlens.operators import binpack, compaction
+from wetlens.operators import binpack, compaction, graph, near, skew
 from wetlens.operators.binpack import packed
 from wetlens.operators.compaction import compact, consolidated, first_fit_decreasing, one_per_file, pack
 from wetlens.operators.graph import connected
@@ -56,6 +56,17 @@ def test_near_pairs_with_hot_spots(spark, cap):
     assert len(got) == len(set(got)) and set(got) == close(x, y, 30.0)
 
 
+def test_no_search_task_exceeds_its_bound(spark):
+    """A crowded spot is dealt to pairs of leaves, none with more than cap core and cap foreign points."""
+    cap = 1000
+    d = spark.range(12_000).select("id", (F.rand(1) * 5 + 328000).alias("x"), (F.rand(2) * 5 + 6821000).alias("y"))
+    one_place = spark.range(12_000, 18_000).select("id", F.lit(328002.0).alias("x"), F.lit(6821002.0).alias("y"))
+    tasks = near.dealt(d.unionByName(one_place), 30.0, cap=cap).groupBy("owner", "oblk", "part").agg(F.count("*").alias("n"), F.count_if("core").alias("c")).collect()
+    assert max(r["c"] for r in tasks) <= cap and max(r["n"] for r in tasks) <= 2 * cap
+    # every pair of points meets once: core with core in part 0, core with foreign in any part
+    assert sum((r["c"] * (r["c"] - 1) // 2 if r["part"] == 0 else 0) + r["c"] * (r["n"] - r["c"]) for r in tasks) == 18_000 * 17_999 // 2
+
+
 def test_near_pairs_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     t = "id long, x double, y double"
@@ -78,7 +89,9 @@ def test_components_of_graphs(spark):
     chain = [(i, i + 1) for i in range(300)]
     rand = [tuple(map(int, e)) for e in rng.integers(1000, 1300, (200, 2))]
     edges = chain + rand + [(5, 5), (None, 3), (7, None), (2000, 2000)]
-    got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
+    d = spark.createDataFrame(edges, "u long, v long")
+    got = {r["node"]: r["root"] for r in connected(d).collect()}
+    assert {r["node"]: r["root"] for r in connected(d, small=10).collect()} == got
     root = {}
     for a, b in edges:
         if a is not None and b is not None:
@@ -94,6 +107,18 @@ def test_components_of_graphs(spark):
     assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    left = spark.createDataFrame([(i, None if i % 7 == 0 else "a" if i % 3 else f"k{i}") for i in range(200)], "id long, k string")
+    right = spark.createDataFrame([("a", 1), ("k3", 2), ("zz", 3)], "k string, v int")
+    hot = left.filter("k is not null").groupBy("k").count().filter("count > 10")
+    for how in ("left", "inner"):
+        want = sorted(map(str, left.join(right, ["k"], how).select("id", "k", "v").collect()))
+        assert sorted(map(str, skew.join_hot(left, right, ["k"], hot, "id", how, 10).select("id", "k", "v").collect())) == want
+    chain = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(i, i + 100) for i in range(60)], "u long, v long")
+    monkeypatch.setattr(graph, "HOT", 10)
+    assert {r["root"] for r in connected(chain, small=5).collect()} == {0}
+
+
 def test_paths(spark):
     want = "data/chips/länsi-008/k1_neg_0001.npy"
     ways = [
