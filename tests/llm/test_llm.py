@@ -1,6 +1,7 @@
 """The llm operators against brute force, exact round trips and their stated cases."""
 
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wetlens.llm import grouping, matching, mixing, overlap, packing, spans, tokens, values
-from wetlens.session import load
+from wetlens.session import create, load, shared_dir
 
 S1 = "/root/testdata/sf0.001"
 MANIFEST = "row_idx long, path string, label int, feature_type string, x double, y double, subset string, source string, labelled_at timestamp, added_at timestamp"
@@ -68,51 +69,77 @@ def _groups(rows, r):
     return root
 
 
-@pytest.mark.parametrize("cap", [20_000, 15])
-def test_components_and_growth(spark, cap):
+TARGETS = {"train": 0.7, "val": 0.15, "test": 0.15}
+
+
+def table(spark, radius=grouping.RADIUS):
+    return grouping.Table(spark, f"{shared_dir(spark)}/t-{uuid.uuid4().hex}", radius)
+
+
+@pytest.mark.parametrize("direct", [1024, 0])
+def test_components_and_growth(spark, monkeypatch, direct):
+    """One batch and three; with no pairs compared at once, undecided cells are cut until they are settled."""
+    monkeypatch.setattr(grouping, "DIRECT", direct)
     rng = np.random.default_rng(7)
     rows = [(i, float(rng.uniform(0, 900)), float(rng.uniform(0, 900)), int(rng.integers(3))) for i in range(250)]
     rows[:60] = [(i, 450.0 + (i % 4), 450.0, 1) for i in range(60)]
-    rows += [(900, None, 1.0, 1), (901, 1.0, 1.0, None)]
-    d = spark.createDataFrame(rows, "id long, x double, y double, kind int")
-    want = _groups(rows, 40.0)
-    whole = {r["id"]: r["component"] for r in grouping.grow(None, d, None, cap=cap).collect()}
-    assert whole == want
-    table = None
+    rows += [(900, None, 1.0, 1), (901, 1.0, 1.0, None), (902, float("nan"), 1.0, 1), (903, 2000.0, 2000.0, 1), (904, 2000.0 + 40.0, 2000.0, 1), (905, 3000.0, 2000.0, 1), (906, 3000.0 + 40.001, 2000.0, 1)]
+    d = spark.createDataFrame(rows, "id long, x double, y double, kind int").withColumn("subset", F.lit("x")).withColumn("component", F.lit("x"))
+    want = _groups([(i, None, y, k) if x != x else (i, x, y, k) for i, x, y, k in rows], 40.0)
+    assert {r["id"]: r["component"] for r in table(spark).grow(d).rows().collect()} == want
+    t = table(spark)
     for k in range(3):
-        table = grouping.grow(table, d.filter(F.pmod("id", F.lit(3)) == k), {"train": 0.7, "val": 0.15, "test": 0.15}, cap=cap)
-    got = table.collect()
+        t.grow(d.filter(F.pmod("id", F.lit(3)) == k), TARGETS)
+    got = grouping.Table(spark, t.location).rows().collect()
     assert {r["id"]: r["component"] for r in got} == want
     sizes = {c: list(want.values()).count(c) for c in want.values()}
     assert all(r["linked"] == (sizes[r["component"]] > 1) for r in got)
     by = {}
     for r in got:
         by.setdefault(r["component"], set()).add(r["subset"])
-    assert all(len(s) == 1 for s in by.values())
+    assert all(len(s) == 1 and s <= {*TARGETS, grouping.QUARANTINE} for s in by.values())
+
+
+def test_a_crowded_site_is_one_cell(spark):
+    """Many points on one spot come down to a few cells before anything is joined."""
+    d = spark.range(20_000).select("id", (F.rand(1) * 5 + 328000).alias("x"), (F.rand(2) * 5 + 6821000).alias("y"), F.lit(1).alias("kind"))
+    t = table(spark).grow(d)
+    assert t.rows().select("component").distinct().collect() == [(0,)]
+    assert spark.read.parquet(f"{t.location}/{t.version()['batches'][0]}/cells").count() <= 4
 
 
 def test_existing_splits_are_kept_and_conflicts_quarantined(spark):
-    t = "id long, x double, y double, kind int"
+    schema = "id long, x double, y double, kind int"
     target = {"a": 0.5, "b": 0.5}
-    first = grouping.grow(None, spark.createDataFrame([(1, 0.0, 0.0, 1), (2, 100.0, 0.0, 1), (3, 500.0, 0.0, 1), (4, 900.0, 0.0, 1)], t), target)
-    was = {r["id"]: r["subset"] for r in first.collect()}
+    t = table(spark).grow(spark.createDataFrame([(1, 0.0, 0.0, 1), (2, 100.0, 0.0, 1), (3, 500.0, 0.0, 1), (4, 900.0, 0.0, 1)], schema), target)
+    was = {r["id"]: r["subset"] for r in t.rows().collect()}
     assert sorted(was.values()) == ["a", "a", "b", "b"]
+    first = t.version()
     x = dict(zip((1, 2, 3, 4), (0.0, 100.0, 500.0, 900.0)))
     one = next(i for i in was if was[i] != was[1])
     # a row beside 1 alone joins it; a bridge of rows from 1 to one of the other subset is a conflict
-    beside = grouping.grow(first, spark.createDataFrame([(10, 30.0, 0.0, 1)], t), target)
-    now = {r["id"]: (r["component"], r["subset"]) for r in beside.collect()}
-    assert now[10] == now[1] == (1, was[1]) and all(now[i][1] == was[i] for i in was)
+    t.grow(spark.createDataFrame([(10, 30.0, 0.0, 1)], schema), target)
+    now = {r["id"]: (r["component"], r["subset"], r["linked"]) for r in t.rows().collect()}
+    assert now[10] == now[1] == (1, was[1], True) and all(now[i][1] == was[i] for i in was)
     bridge = [(20 + i, v, 0.0, 1) for i, v in enumerate(np.arange(min(x[1], x[one]) + 30, max(x[1], x[one]), 30.0).tolist())]
-    after = {r["id"]: r["subset"] for r in grouping.grow(beside, spark.createDataFrame(bridge, t), target).collect()}
+    after = {r["id"]: r["subset"] for r in t.grow(spark.createDataFrame(bridge, schema), target).rows().collect()}
     assert after[1] == after[one] == after[20] == grouping.QUARANTINE
-    assert grouping.grow(None, spark.createDataFrame([], t), target).count() == 0
+    # an older version still reads as it was, and a version cannot be written twice
+    assert {r["id"]: r["subset"] for r in t.rows(first).collect()} == was
+    with pytest.raises(Exception):
+        create(spark, f"{t.location}/version-000000001.json", "{}")
+    # a smaller id takes over the name, through earlier changes too
+    renamed = {r["id"]: r["component"] for r in t.grow(spark.createDataFrame([(0, -30.0, 0.0, 1)], schema), target).rows().collect()}
+    assert renamed[1] == renamed[10] == renamed[20] == 0
+    empty = table(spark).grow(spark.createDataFrame([], schema), target)
+    assert empty.rows().count() == 0 and empty.grow(spark.createDataFrame([(7, 0.0, 0.0, 1)], schema), target).rows().count() == 1
+    assert table(spark).rows().count() == 0
 
 
 def test_shares_of_new_components(spark):
     d = spark.range(4000).select("id", (F.col("id") * 1000.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1).alias("kind"))
-    got = {r["subset"]: r["count"] / 4000 for r in grouping.grow(None, d, {"train": 0.7, "val": 0.15, "test": 0.15}).groupBy("subset").count().collect()}
-    assert got == pytest.approx({"train": 0.7, "val": 0.15, "test": 0.15}, abs=0.005)
+    got = {r["subset"]: r["count"] / 4000 for r in table(spark).grow(d, TARGETS).rows().groupBy("subset").count().collect()}
+    assert got == pytest.approx(TARGETS, abs=0.005)
 
 
 # 3: values
@@ -126,6 +153,8 @@ def test_value_matching(spark):
         "berry bed 64 km": 0, "26.2.2021": 0, "684111 7286042": 0, "hgexb": 0, "?": 0, "moose of tent": 0, "x" * 5000: 0,
     }
     want["m&auml;rk%C3%A4 mets%E4 "] = 2
+    # what teaches that "check" is a remark
+    want |= {"log_jam check": 60, "dam - check": 5}
     d = spark.createDataFrame([(v,) for v in [*want, *want, None, "", " \t", " "]], "value string")
     got = [tuple(r) for r in matching.match_values(d, ref).collect()]
     assert len(got) == len(want)
@@ -140,12 +169,18 @@ def test_ambiguous_values_stand_for_none(spark):
     assert {r["value"]: r["ref_id"] for r in matching.match_values(d, ref).collect()} == {"abcdefgx": 0, "abcdefgh": 1, "othr": 2}
 
 
-def test_salted_meaning_join(spark, monkeypatch):
+def test_remarks_are_learnt_from_the_values(spark):
+    """Words beside two terms written out in full are a remark; a name, or words beside one term, are none."""
+    ref = spark.createDataFrame([(1, "open_bog", None), (2, "log_jam", None), (3, "seen", None)], "ref_id int, name string, aliases array<string>")
+    d = spark.createDataFrame([(v,) for v in ("open bog seen", "log jam, SEEN", "open bog / sure", "log jam sure", "opne bog - sure", "very old open bog", "sure")], "value string")
+    assert {r["value"]: r["ref_id"] for r in matching.match_values(d, ref).collect()} == {"open bog seen": 0, "log jam, SEEN": 0, "open bog / sure": 1, "log jam sure": 2, "opne bog - sure": 1, "very old open bog": 0, "sure": 0}
+
+
+def test_hot_values_are_dealt(spark):
     rows = spark.createDataFrame([(i, ["a", "b", None, "c"][i % 4]) for i in range(100)], "id long, t string")
     m = spark.createDataFrame([("a", 1), ("b", 0)], "value string, ref_id int")
-    plain = sorted(map(str, matching.with_meaning(rows, "t", m, "id").collect()))
-    monkeypatch.setattr(matching, "BROADCAST_ROWS", 0)
-    assert sorted(map(str, matching.with_meaning(rows, "t", m, "id").select("id", "t", "ref_id").collect())) == plain and len(plain) == 100
+    plain = sorted(map(str, matching.with_meaning(rows, "t", m, "id").select("id", "t", "ref_id").collect()))
+    assert sorted(map(str, matching.with_meaning(rows, "t", m, "id", hot=10).select("id", "t", "ref_id").collect())) == plain and len(plain) == 100
 
 
 @settings(max_examples=100, deadline=None)

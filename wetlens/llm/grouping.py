@@ -1,71 +1,151 @@
-"""Splits that keep related records together: a persisted, growing table of components."""
+"""Splits that keep related records together: a persisted, growing table of components.
+
+The table is a folder.  ``rows`` and ``cells`` of each batch are written once and never
+changed; what later batches do to components of earlier ones is a small table of changes, component ->
+(root, subset), that alone is written anew.  A version is one file that names the folders it
+consists of; it is created only if it is not there, so readers see a whole version and of two
+writers one fails.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wetlens.functions.geo import position
 from wetlens.llm.matching import blank, manifest_meanings, with_meaning
-from wetlens.operators import dualtree
 from wetlens.operators.graph import connected
-from wetlens.operators.near import CAP, with_halo
-from wetlens.session import load, written
+from wetlens.operators.near import positions
+from wetlens.operators.skew import HOT, join_hot
+from wetlens.session import create, file_system, load, read_text, shared_dir, written
 
 RADIUS = 40.0
-#: Shift in metres that keeps different meanings apart in one search.
-APART = 1e6
 #: A component above one in LARGE of all rows is assigned by itself, smaller ones by bucket.
 LARGE, BUCKETS = 10_000, 4096
 QUARANTINE = "quarantine"
+#: Pairs of points up to which two cells are compared point by point at once; beyond, their cells are halved first.
+DIRECT = 1024
+#: Cells along a side of the squares by which cells meet.
+SQUARE = 12
 
-_LOCAL = T.StructType([T.StructField("id", T.LongType()), T.StructField("core", T.BooleanType()), T.StructField("label", T.LongType()), T.StructField("linked", T.BooleanType())])
+_CELL = ["kind", "cx", "cy"]
+_BOX = (("x0", F.min, "x"), ("y0", F.min, "y"), ("x1", F.max, "x"), ("y1", F.max, "y"))
 
 
-def _label(table: pa.Table, radius: float) -> pa.Table:
-    """Components among the points of one leaf and its foreign points; the label is the smallest id."""
-    t = table.sort_by("id")
-    ids, core = t.column("id").to_numpy(), t.column("core").to_numpy()
-    x, y, kind = (t.column(c).to_numpy() for c in ("x", "y", "kind"))
-    kinds = np.unique(kind, return_inverse=True)[1]
-    root = dualtree.components(len(ids), dualtree.links(x - x.min() + kinds * APART, y - y.min(), radius))
-    linked = np.bincount(root, minlength=len(ids))[root] > 1
-    keep = core | linked
-    return pa.table({"id": ids[keep], "core": core[keep], "label": ids[root][keep], "linked": linked[keep]})
+def _side(radius: float) -> float:
+    """Side of a cell: its diagonal is half the radius, so the points of one cell, and of cells that touch, are all linked."""
+    return radius / 8**0.5
 
 
-def components(points: DataFrame, radius: float = RADIUS, cap: int = CAP) -> DataFrame:
-    """(id, component, linked): the smallest id each point is linked to, through others too.
+def _celled(points: DataFrame, radius: float) -> DataFrame:
+    side = F.lit(_side(radius))
+    return points.withColumn("cx", F.floor(F.col("x") / side).cast("long")).withColumn("cy", F.floor(F.col("y") / side).cast("long"))
+
+
+def _gap2(far: bool = False):
+    """Squared distance of the boxes a and b: the least there can be between their points, or the most."""
+    c = lambda t, n: F.col(f"{t}.{n}")
+    if far:
+        dx, dy = (F.greatest(c("a", f"{v}1") - c("b", f"{v}0"), c("b", f"{v}1") - c("a", f"{v}0")) for v in "xy")
+    else:
+        dx, dy = (F.greatest(F.lit(0.0), c("a", f"{v}0") - c("b", f"{v}1"), c("b", f"{v}0") - c("a", f"{v}1")) for v in "xy")
+    return dx * dx + dy * dy
 
-    ``points``: id (unique), x, y, kind (a whole number), and optionally ``known``, the
-    component an id already belongs to.  Points of one kind at most ``radius`` apart are
-    linked; ``linked`` is False for a point alone.  Leaves of the spatial tree are labelled
-    in tasks; labels that meet at a foreign point, and known components, are merged by
-    pointer jumping.
-    """
 
-    def label(table: pa.Table) -> pa.Table:
-        return _label(table, radius)
+def _squares(nodes: DataFrame, low: tuple, high: tuple, radius: float) -> DataFrame:
+    """nodes with kx, ky: the squares that hold the corners x0, y0 from ``low`` to ``high``."""
+    side = F.lit(SQUARE * _side(radius))
+    at = lambda c: F.floor(c / side).cast("long")
+    x, y = (F.explode(F.sequence(at(a), at(b))) for a, b in zip(low, high))
+    return nodes.withColumn("kx", x).withColumn("ky", y)
 
-    local = written(with_halo(points.select("id", "x", "y", "kind"), radius, cap).groupBy("owner", "oblk").applyInArrow(label, _LOCAL), "local")
-    core = local.filter("core")
-    foreign = local.filter("not core").select("id", F.col("label").alias("v"))
-    edges = core.select("id", F.col("label").alias("u")).join(foreign, "id").select("u", "v")
-    if "known" in points.columns:
-        edges = edges.unionByName(core.join(points.select("id", "known"), "id").filter("known != label").select(F.col("label").alias("u"), F.col("known").alias("v")))
-    roots = connected(edges)
-    return core.join(roots.withColumnRenamed("node", "label"), "label", "left").select("id", F.coalesce("root", "label").alias("component"), (F.col("linked") | F.col("root").isNotNull()).alias("linked"))
 
+def _own_square(nodes: DataFrame, radius: float) -> DataFrame:
+    side = F.lit(SQUARE * _side(radius))
+    return nodes.withColumn("kx", F.floor(F.col("x0") / side).cast("long")).withColumn("ky", F.floor(F.col("y0") / side).cast("long"))
 
-def _near_new(table: DataFrame, new: DataFrame, radius: float) -> DataFrame:
-    """Rows of the table in the cells around new rows."""
-    cell = lambda c, d=0: F.floor(F.col(c) / radius).cast("long") + d
-    around = F.array(*(F.struct(cell("x", i).alias("cx"), cell("y", j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    cells = new.select(F.explode(around).alias("c")).select("c.cx", "c.cy").distinct()
-    return table.withColumn("cx", cell("x")).withColumn("cy", cell("y")).join(cells, ["cx", "cy"], "left_semi").drop("cx", "cy")
+
+def _touched(nodes: DataFrame, radius: float) -> DataFrame:
+    """kind, kx, ky of the squares whose cells may lie within the radius of a node."""
+    back, c = F.lit(radius + _side(radius)), F.col
+    return _squares(nodes.select("kind", *(n for n, _, _ in _BOX)), (c("x0") - back, c("y0") - back), (c("x1") + radius, c("y1") + radius), radius).select("kind", "kx", "ky").distinct()
+
+
+def _near_cells(new: DataFrame, old: DataFrame | None, radius: float) -> DataFrame:
+    """Pairs of cells of one kind whose boxes come within the radius: kind, va, vb, sure, b_old, and number and corner of each.
+
+    ``new`` and ``old``: kind, v, n, box.  Pairs of two old cells are left out; of a mixed pair b is the
+    old one.  A cell is joined with the square of its own corner and looks for others ahead of it, so
+    each pair comes once.  A square has a bounded number of cells, so no key is hot, however many points a cell holds.
+    """
+    box = [n for n, _, _ in _BOX]
+    all_ = new.select("kind", "v", "n", *box, F.lit(False).alias("o"))
+    if old is not None:
+        all_ = all_.unionByName(old.select("kind", "v", "n", *box, F.lit(True).alias("o")))
+    c = F.col
+    ahead = _squares(all_, (c("x0"), c("y0") - F.lit(radius + _side(radius))), (c("x1") + radius, c("y1") + radius), radius)
+    first = (c("a.x0") < c("b.x0")) | ((c("a.x0") == c("b.x0")) & (F.struct("a.o", "a.v", "a.y0") < F.struct("b.o", "b.v", "b.y0")))
+    met = ahead.alias("a").join(_own_square(all_, radius).alias("b"), ["kind", "kx", "ky"]).filter(first & (_gap2() <= radius * radius) & ~(c("a.o") & c("b.o")))
+    turn = c("a.o")
+    side = lambda n: [F.when(turn, c(f"b.{n}")).otherwise(c(f"a.{n}")), F.when(turn, c(f"a.{n}")).otherwise(c(f"b.{n}"))]
+    ends = [e.alias(f"{t}_{n}") for n in ("n", "x0", "y0") for t, e in zip("ab", side(n))]
+    va, vb = side("v")
+    return met.select("kind", va.alias("va"), vb.alias("vb"), (_gap2(far=True) <= radius * radius).alias("sure"), (c("a.o") | c("b.o")).alias("b_old"), *ends)
+
+
+def _linked(unsure: DataFrame, new: DataFrame, old: DataFrame | None, radius: float) -> DataFrame:
+    """(u, v): the pairs of ``unsure`` that have two points within the radius.
+
+    ``new`` and ``old``: points kind, x, y, cx, cy.  Cells of few points are compared point by point.  Others
+    are cut into sixteen, level by level: a pair of parts that surely are near settles their pair of
+    cells, parts too far apart are dropped, the rest is cut again.  A part of one position is always
+    settled, so the descent ends.
+    """
+    names = [*(f"{t}_{c}" for t in "ab" for c in ("cx", "cy")), "kind", "va", "vb", "b_old"]
+    ids = ["va", "vb"]
+
+    def points_of(pairs: DataFrame, t: str, level: int) -> DataFrame:
+        """The points of the pairs' cells (of level - 1) on one side, by cell of this level."""
+        side = F.lit(_side(radius) / 4**level)
+        at = [(F.floor(F.col(v) / side)).cast("long").alias(f"{t}_s{v}") for v in "xy"]
+        p = new.withColumn("_old", F.lit(False))
+        if t == "b" and old is not None:
+            p = p.unionByName(old.withColumn("_old", F.lit(True)))
+        wanted = pairs.select("kind", F.col(f"{t}_cx").alias("cx"), F.col(f"{t}_cy").alias("cy"), (F.col("b_old") if t == "b" else F.lit(False)).alias("_old")).distinct()
+        p = p.join(wanted, [*_CELL, "_old"], "left_semi")
+        return p.select("kind", F.col("cx").alias(f"{t}_cx"), F.col("cy").alias(f"{t}_cy"), "x", "y", *at, *([F.col("_old").alias("b_old")] if t == "b" else []))
+
+    few = F.col("a_n") * F.col("b_n") <= DIRECT
+    small = unsure.filter(few).select(*names)
+    at = {t: ["kind", f"{t}_cx", f"{t}_cy"] + (["b_old"] if t == "b" else []) for t in "ab"}
+    a, b = (points_of(small, t, 0).select(*at[t], F.col("x").alias(f"{t}x"), F.col("y").alias(f"{t}y")) for t in "ab")
+    d2 = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2
+    found = written(small.join(a, at["a"]).join(b, at["b"]).filter(d2 <= radius * radius).select(*ids).distinct(), "linked")
+    todo, level = unsure.filter(~few).select(*names), 0
+    while not todo.isEmpty():
+        level += 1
+        part = {}
+        for t in "ab":
+            box = [f(v).alias(n) for n, f, v in _BOX]
+            up = [] if level == 1 else [F.shiftright(f"{t}_s{v}", 2).alias(f"{t}_p{v}") for v in "xy"]
+            part[t] = points_of(todo, t, level).groupBy(*at[t], f"{t}_sx", f"{t}_sy").agg(*box).select("*", *up)
+        on = {t: at[t] + ([] if level == 1 else [f"{t}_px", f"{t}_py"]) for t in "ab"}
+        j = todo.join(part["a"].select(*on["a"], "a_sx", "a_sy", F.struct("x0", "y0", "x1", "y1").alias("a")), on["a"]).join(part["b"].select(*on["b"], "b_sx", "b_sy", F.struct("x0", "y0", "x1", "y1").alias("b")), on["b"])
+        j = written(j.filter(_gap2() <= radius * radius).select(*names, *(F.col(f"{t}_s{v}").alias(f"{t}_p{v}") for t in "ab" for v in "xy"), (_gap2(far=True) <= radius * radius).alias("sure")), "parts")
+        here = j.filter("sure").select(*ids).distinct()
+        found = written(found.unionByName(here), "linked")
+        todo = written(j.filter("not sure").drop("sure").join(here, ids, "left_anti"), "todo")
+    return found.select(F.col("va").alias("u"), F.col("vb").alias("v"))
+
+
+def _rooted(nodes: DataFrame, column: str, roots: DataFrame, spread: str) -> DataFrame:
+    """``nodes`` with ``column`` replaced by its root where it has one."""
+    known = nodes.count() > HOT
+    hot = written(nodes.groupBy(F.col(column).alias("node")).count().filter(F.col("count") > HOT), "hot") if known else None
+    return join_hot(nodes.withColumnRenamed(column, "node"), roots, ["node"], hot, spread).withColumn(column, F.coalesce("root", "node")).drop("node", "root")
 
 
 def _fill(fresh: DataFrame, counts: dict, targets: dict) -> DataFrame:
@@ -98,70 +178,196 @@ def _fill(fresh: DataFrame, counts: dict, targets: dict) -> DataFrame:
     return big.unionByName(small.join(F.broadcast(buckets), "bucket").select("component", "subset"))
 
 
-TABLE = "id long, x double, y double, kind int, component long, linked boolean, subset string"
-
-
-def grow(table: DataFrame | None, new: DataFrame, targets: dict[str, float] | None, radius: float = RADIUS, cap: int = CAP) -> DataFrame:
-    """The component table with a batch of new rows added; it is written and returned.
+class Table:
+    """The persisted component table in the folder ``location``: rows of all batches, with component and subset.
 
-    ``table``: what an earlier call returned, or None.  ``new``: id, x, y, kind; ids are
-    unique over all batches.  Rows with a NULL position or kind are components of their own.
-    A component is named by its smallest id.  With ``targets`` (share per subset) each
-    component has a subset: one that was there keeps it, with its new rows; a new one gets
-    the subset that lacks most rows; where new rows merge components of different subsets,
-    the merged component is set to ``quarantine`` (as is one merged with such).
+    A component is named by its smallest id.
     """
-    new = written(new.select(F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("kind").cast("int").alias("kind")), "new")
-    usable = new.filter("x is not null and y is not null and kind is not null and not isnan(x) and not isnan(y)")
-    points = usable if table is None else usable.withColumn("known", F.lit(None).cast("long")).unionByName(_near_new(table, usable, radius).select("id", "x", "y", "kind", F.col("component").alias("known")).filter("kind is not null"))
-    found = components(points, radius, cap)
-    if table is not None:
-        found = written(found, "found")
-    rows = new.join(found, "id", "left").select("id", "x", "y", "kind", F.coalesce("component", "id").alias("component"), F.coalesce("linked", F.lit(False)).alias("linked"))
-    if table is not None:
-        # a known component may have merged into another, under a smaller name
-        moved = found.join(points.filter("known is not null").select("id", "known"), "id").groupBy("known").agg(F.min("component").alias("to"))
-        old = table.join(moved.withColumnRenamed("known", "component"), "component", "left")
-        grown = found.filter("linked").select("id", F.lit(True).alias("now"))
-        old = old.join(grown, "id", "left").select("id", "x", "y", "kind", F.coalesce("to", "component").alias("component"), (F.col("linked") | F.coalesce("now", F.lit(False))).alias("linked"), "subset")
-        rows = rows.withColumn("subset", F.lit(None).cast("string")).unionByName(old)
-    else:
-        rows = rows.withColumn("subset", F.lit(None).cast("string"))
-    if targets is None:
-        return written(rows, "components")
-    rows = written(rows, "rows")
-    sizes = rows.groupBy("component").agg(F.count("*").alias("size"), F.min("subset").alias("lo"), F.max("subset").alias("hi"))
-    sizes = written(sizes.select("component", "size", F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("lo").isNotNull(), F.lit(QUARANTINE)).alias("kept")), "sizes")
-    counts = {r[0]: r[1] for r in sizes.filter("kept is not null").groupBy("kept").agg(F.sum("size")).collect()}
-    counts.pop(QUARANTINE, None)
-    filled = _fill(sizes.filter("kept is null"), counts, targets)
-    given = sizes.filter("kept is not null").select("component", F.col("kept").alias("given")).unionByName(filled.withColumnRenamed("subset", "given"))
-    return written(rows.join(given, "component").select("id", "x", "y", "kind", "component", "linked", F.col("given").alias("subset")), "components")
-
-
-def manifest_points(manifest: DataFrame, reference: DataFrame) -> DataFrame:
-    """id, x, y, kind of all manifest rows: kind is the meaning of feature_type, NULL if it has none."""
-    m = manifest.select("row_idx", "feature_type", "x", "y")
+
+    def __init__(self, spark: SparkSession, location: str, radius: float = RADIUS):
+        self.spark, self.location, self.radius = spark, location.rstrip("/"), radius
+
+    def version(self) -> dict:
+        """The newest version: its number, the folders of its batches and of its changes."""
+        fs, of = file_system(self.spark, self.location)
+        found = [s.getPath().getName() for s in (fs.globStatus(of(f"{self.location}/version-*.json")) or [])]
+        return json.loads(read_text(self.spark, f"{self.location}/{max(found)}")) if found else {"number": 0, "batches": [], "changes": None}
+
+    def _read(self, version: dict, name: str) -> DataFrame | None:
+        """A table of all batches of a version."""
+        if not version["batches"]:
+            return None
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(*(f"{self.location}/{b}/{name}" for b in version["batches"]))
+
+    def _changes(self, version: dict) -> DataFrame | None:
+        return self.spark.read.schema(_SCHEMAS["changes"]).parquet(f"{self.location}/{version['changes']}") if version["changes"] else None
+
+    def rows(self, version: dict | None = None) -> DataFrame:
+        """(id, x, y, kind, component, linked, subset) of all rows; ``linked`` is False for a row alone."""
+        v = version or self.version()
+        rows, changes = self._read(v, "rows"), self._changes(v)
+        if rows is None:
+            return self.spark.createDataFrame([], "id long, x double, y double, kind int, component long, linked boolean, subset string")
+        full = self._changed(rows, changes, v)
+        return full.select("id", "x", "y", "kind", "component", "linked", "subset")
+
+    def _changed(self, facts: DataFrame, changes: DataFrame | None, version: dict, spread: str = "id") -> DataFrame:
+        """Rows or component facts as later batches left them.  Components of very many rows are dealt to parts."""
+        if changes is None:
+            return facts
+        hot = self._read(version, "components").groupBy("component").agg(F.sum("n").alias("count")).filter(F.col("count") > HOT)
+        hot = written(hot, "hot") if version["n"] > HOT and spread == "id" else None
+        c = changes.select("component", "root", F.col("subset").alias("_subset"), F.lit(True).alias("_changed"))
+        j = join_hot(facts, c, ["component"], hot, spread).withColumn("component", F.coalesce("root", "component")).withColumn("subset", F.coalesce("_subset", "subset"))
+        if "linked" in facts.columns:
+            j = j.withColumn("linked", F.col("linked") | F.coalesce("_changed", F.lit(False)))
+        return j.drop("root", "_subset", "_changed")
+
+    def grow(self, new: DataFrame, targets: dict[str, float] | None = None) -> "Table":
+        """Adds a batch of rows: id, x, y, kind; ids are unique over all batches.
+
+        Rows of one kind at most ``radius`` apart are linked, through others too.  Rows with a NULL, NaN or useless position or
+        a NULL kind are components of their own.  With ``targets`` (share per subset) each
+        component has a subset: one that was there keeps it, with its new rows; a new one gets
+        the subset that lacks most rows; where new rows merge components of different subsets,
+        the merged component is set to ``quarantine`` (as is one merged with such).  What is read of earlier
+        batches are the cells and component facts; their rows only where cells near new ones leave the
+        distance open.
+        """
+        v, r = self.version(), self.radius
+        new = written(new.select(F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("kind").cast("int").alias("kind")), "new")
+        points = _celled(_usable(new), r)
+        nodes = written(points.groupBy(*_CELL).agg(F.min("id").alias("v"), F.count("*").alias("n"), *(f(c).alias(n) for n, f, c in _BOX)), "nodes")
+        old, cells, changes = None, self._read(v, "cells"), self._changes(v)
+        if cells is not None:
+            near = _own_square(cells, r).join(_touched(nodes, r), ["kind", "kx", "ky"], "left_semi").drop("kx", "ky")
+            if changes is not None:
+                near = near.join(changes.select("component", "root"), "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
+            # the cells of one place in several batches belong to one component
+            old = written(near.groupBy(*_CELL).agg(F.min("component").alias("v"), F.sum("n").alias("n"), *(f(n).alias(n) for n, f, _ in _BOX)), "old")
+        pairs = written(_near_cells(nodes, old, r), "pairs")
+        roots = connected(pairs.filter("sure").select(F.col("va").alias("u"), F.col("vb").alias("v")))
+        unsure = pairs.filter("not sure")
+        for e in ("va", "vb"):
+            unsure = unsure.join(roots.select(F.col("node").alias(e), F.col("root").alias(f"r{e}")), e, "left").withColumn(f"r{e}", F.coalesce(f"r{e}", e))
+        side = F.lit(_side(r))
+        corners = [F.floor(F.col(f"{t}_{c}0") / side).cast("long").alias(f"{t}_c{c}") for t in "ab" for c in "xy"]
+        unsure = written(unsure.filter("rva != rvb").select("kind", F.col("rva").alias("va"), F.col("rvb").alias("vb"), "b_old", "a_n", "b_n", *corners), "unsure")
+        late = None
+        if not unsure.isEmpty():
+            before = None if old is None else _celled(_usable(self._read(v, "rows").select("id", "x", "y", "kind")), r).select(*_CELL, "x", "y")
+            late = connected(_linked(unsure, points.select(*_CELL, "x", "y"), before, r))
+
+        def settled(t: DataFrame, column: str, spread: str) -> DataFrame:
+            one = _rooted(t, column, roots, spread)
+            return one if late is None else _rooted(written(one, "rooted"), column, late, spread)
+
+        named = written(settled(nodes.withColumn("component", F.col("v")), "component", "v"), "named")
+        singles = new.join(points.select("id"), "id", "left_anti")
+        sizes = named.groupBy("component").agg(F.sum("n").alias("n")).unionByName(singles.select(F.col("id").alias("component"), F.lit(1).cast("long").alias("n")))
+        moved = None
+        if old is not None:
+            facts = self._changed(self._read(v, "components"), changes, v, "component")
+            reached = written(old.select(F.col("v").alias("component")).distinct(), "reached")
+            was = facts.join(reached, "component", "left_semi").groupBy("component").agg(F.max("subset").alias("subset"))
+            moved = written(settled(was.withColumn("root", F.col("component")).withColumnRenamed("root", "to"), "to", "component"), "moved")
+            moved = written(moved.join(named.select(F.col("component").alias("to")).distinct(), "to", "left_semi").select("component", "to", "subset"), "moved")
+        return self._commit(v, new, points, named, singles, sizes, moved, changes, targets)
+
+    def _commit(self, v: dict, new: DataFrame, points: DataFrame, named: DataFrame, singles: DataFrame, sizes: DataFrame, moved: DataFrame | None, changes: DataFrame | None, targets: dict | None) -> "Table":
+        batch, table = f"batch-{uuid.uuid4().hex}", self.location
+        if moved is not None:
+            one = moved.groupBy(F.col("to").alias("component")).agg(F.min("subset").alias("lo"), F.max("subset").alias("hi"), F.lit(True).alias("kept"))
+            one = one.select("component", "kept", F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("lo").isNotNull(), F.lit(QUARANTINE)).alias("subset"))
+            sizes = sizes.join(one, "component", "left")
+        else:
+            sizes = sizes.withColumn("kept", F.lit(None).cast("boolean")).withColumn("subset", F.lit(None).cast("string"))
+        sizes = written(sizes.withColumn("linked", (F.col("n") > 1) | F.col("kept").isNotNull()), "sizes")
+        now = changes
+        if moved is not None:
+            given = moved.join(sizes.select(F.col("component").alias("to"), F.col("subset").alias("given")), "to").select("component", F.col("to").alias("root"), F.col("given").alias("subset"))
+            now = given
+            if changes is not None:
+                # earlier changes lead to the new roots of what they led to
+                later = given.select(F.col("component").alias("root"), F.col("root").alias("_root"), F.col("subset").alias("_subset"))
+                kept = changes.join(later, "root", "left").select("component", F.coalesce("_root", "root").alias("root"), F.coalesce("_subset", "subset").alias("subset"))
+                now = kept.unionByName(given.join(kept.select("component"), "component", "left_anti"))
+            now = written(now, "changes")
+        if targets is not None:
+            counts: dict = {}
+            if v["batches"]:
+                past = self._changed(self._read(v, "components"), now, v, "component")
+                counts = {s: n for s, n in past.groupBy("subset").agg(F.sum("n")).collect() if s}
+            for s, n in sizes.filter("subset is not null").groupBy("subset").agg(F.sum("n")).collect():
+                counts[s] = counts.get(s, 0) + n
+            counts.pop(QUARANTINE, None)
+            filled = _fill(sizes.filter("kept is null").select("component", F.col("n").alias("size")), counts, targets)
+            sizes = written(sizes.drop("subset").join(filled.unionByName(sizes.filter("kept is not null").select("component", "subset")), "component"), "sizes")
+        facts = sizes.select("component", "linked", "subset")
+        hot = written(named.groupBy("component").count().filter(F.col("count") > HOT), "hot") if v.get("n", 0) + named.count() > HOT else None
+        cells = written(join_hot(named, facts, ["component"], hot, "v"), "celled")
+        crowded = cells.filter(F.col("n") > HOT).select(*_CELL, F.col("n").alias("count"))
+        rows = join_hot(points, cells.select(*_CELL, "component", "linked", "subset"), _CELL, None if crowded.isEmpty() else crowded, "id", "inner").select(*_ROWS)
+        rows = rows.unionByName(singles.join(facts, F.col("id") == F.col("component")).select(*_ROWS))
+        rows.write.parquet(f"{table}/{batch}/rows")
+        cells.select(*_CELLS).write.parquet(f"{table}/{batch}/cells")
+        sizes.select("component", "n", "subset").write.parquet(f"{table}/{batch}/components")
+        folder = v["changes"]
+        if now is not None and moved is not None:
+            folder = f"{batch}/changes"
+            now.select("component", "root", "subset").write.parquet(f"{table}/{folder}")
+        nxt = {"number": v["number"] + 1, "batches": [*v["batches"], batch], "changes": folder, "n": v.get("n", 0) + new.count()}
+        create(self.spark, f"{table}/version-{nxt['number']:09d}.json", json.dumps(nxt))
+        return self
+
+
+_ROWS = ("id", "x", "y", "kind", "component", "linked", "subset")
+_CELLS = (*_CELL, "n", "component", *(n for n, _, _ in _BOX))
+_SCHEMAS = {
+    "rows": "id long, x double, y double, kind int, component long, linked boolean, subset string",
+    "cells": "kind int, cx long, cy long, n long, component long, x0 double, y0 double, x1 double, y1 double",
+    "components": "component long, n long, subset string",
+    "changes": "component long, root long, subset string",
+}
+
+
+def _usable(rows: DataFrame) -> DataFrame:
+    """The rows with a kind and a position."""
+    return positions(rows.filter("kind is not null"), more=("kind",))
+
+
+def manifest_points(manifest: DataFrame, reference: DataFrame, *more: str) -> DataFrame:
+    """id, x, y, kind (and ``more`` columns) of all manifest rows: kind is the meaning of feature_type, NULL if it has none."""
+    m = manifest.select("row_idx", "feature_type", "x", "y", *more)
     matched = manifest_meanings(m, reference)
     unknown = reference.filter("name = 'unknown'").agg(F.min("ref_id")).first()[0]
     kind = F.when(blank(F.col("feature_type")), F.lit(unknown)).when(F.col("ref_id") > 0, F.col("ref_id"))
-    rows = with_meaning(m, "feature_type", matched, "row_idx").select(F.col("row_idx").alias("id"), position(F.col("x"), F.col("y")).alias("p"), kind.alias("kind"))
-    return rows.select("id", F.col("p.e").alias("x"), F.col("p.n").alias("y"), "kind")
+    rows = with_meaning(m, "feature_type", matched, "row_idx").select(F.col("row_idx").alias("id"), position(F.col("x"), F.col("y")).alias("p"), kind.alias("kind"), *more)
+    return rows.select("id", F.col("p.e").alias("x"), F.col("p.n").alias("y"), "kind", *more)
+
+
+#: Rows added from then on are the second batch of the queries.
+LATER = "2023-01-01"
+
+
+def _grown(spark: SparkSession, sf_dir: str, targets: dict | None) -> DataFrame:
+    """The component table after two batches: rows added before ``LATER``, then the rest."""
+    m = load(spark, sf_dir, "manifest")
+    early = F.coalesce(F.col("added_at") < F.lit(LATER).cast("timestamp"), F.lit(False))
+    points = written(manifest_points(m.withColumn("early", early), load(spark, sf_dir, "feature_ref"), "early"), "points")
+    table = Table(spark, f"{shared_dir(spark)}/groups-{uuid.uuid4().hex}")
+    for batch in ("early", "not early"):
+        table.grow(points.filter(batch), targets)
+    return table.rows()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of each manifest row that belongs together with another."""
-    points = manifest_points(load(spark, sf_dir, "manifest"), load(spark, sf_dir, "feature_ref"))
-    return grow(None, points, None).filter("linked").select(F.col("id").alias("row_idx"), F.col("component").alias("group_row_idx"))
+    return _grown(spark, sf_dir, None).filter("linked").select(F.col("id").alias("row_idx"), F.col("component").alias("group_row_idx"))
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The component table after two batches: rows added before 2023, then the rest."""
-    m = load(spark, sf_dir, "manifest")
-    points = written(manifest_points(m, load(spark, sf_dir, "feature_ref")).join(m.select(F.col("row_idx").alias("id"), (F.col("added_at") < F.lit("2023-01-01").cast("timestamp")).alias("early")), "id"), "points")
-    targets = {r["subset"]: r["target_share"] for r in load(spark, sf_dir, "split_target").collect()}
-    first = grow(None, points.filter("early"), targets)
-    return grow(first, points.filter("not coalesce(early, false)"), targets)
+    return _grown(spark, sf_dir, {r["subset"]: r["target_share"] for r in load(spark, sf_dir, "split_target").collect()})
 
 
 def p2_assign(spark: SparkSession, sf_dir: str) -> DataFrame:

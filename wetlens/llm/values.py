@@ -9,23 +9,18 @@ from urllib.parse import unquote
 
 #: Cyrillic and Greek letters and the Latin ones they look like.
 LOOKALIKES = str.maketrans("аАеЕоОрРсСхХуУіІјЈкКмМтТвВнНѕЅԁһΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαν", "aAeEoOpPcCxXyYiIjJkKmMtTbBhHsSdhABEZHIKMNOPTYXoav")
-#: Remarks people put before or after a value.
-BEFORE, AFTER = ("type", "maybe"), ("check", "verify", "re visit", "from sheet")
-#: Endings of inflected forms.
-ENDINGS = ("es", "en", "s", "n", "t")
-
 _CAMEL = re.compile(r"(?<=[^\W\d_A-ZÄÖÅ])(?=[A-ZÄÖÅ])")
 _NUMBER = re.compile(r"(?:\bno\W*)?\d+", re.I)
 _SPLIT = re.compile(r"[\W_]+")
 _BROKEN = re.compile("[ÃÂ][\x80-¿]")
-_REMARK = re.compile(rf"^(?:{'|'.join(BEFORE)}) | (?:{'|'.join(AFTER)})$")
 
 
 def decoded(value: str) -> str:
     """The text behind escapes, broken encodings, look-alike letters and invisible characters."""
     s = value
-    for _ in range(2):
-        s = unquote(html.unescape(s))
+    # each turn that changes anything shortens the text, so this ends
+    while (t := unquote(html.unescape(s))) != s and len(t) < len(s):
+        s = t
     if _BROKEN.search(s):
         try:
             s = s.encode("latin-1").decode("utf-8")
@@ -42,14 +37,11 @@ def folded(text: str) -> str:
 
 
 def words(value: str) -> list[str]:
-    """The words of a value, lower case and without marks, numbers, punctuation and remarks."""
+    """The words of a value, lower case and without marks, numbers and punctuation."""
     s = _NUMBER.sub(" ", decoded(value))
     if not s.isupper():
         s = _CAMEL.sub(" ", s)
-    text = " ".join(w for w in _SPLIT.split(folded(s.casefold())) if w)
-    while (t := _REMARK.sub("", text)) != text:
-        text = t
-    return text.split()
+    return [w for w in _SPLIT.split(folded(s.casefold())) if w]
 
 
 def blank(value: str | None) -> bool:
@@ -57,14 +49,6 @@ def blank(value: str | None) -> bool:
     return value is None or not value.strip()
 
 
-def variants(value: str) -> list[str]:
-    """The words of a value run together, and the same without an ending; no form if none are left."""
-    run = "".join(words(value))
-    if not run:
-        return []
-    return [run] + [run[: -len(e)] for e in ENDINGS if run.endswith(e) and len(run) - len(e) >= 3]
-
-
 def edits(a: str, b: str) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours that turn a into b."""
     last, row = None, list(range(len(b) + 1))
