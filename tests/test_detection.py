@@ -14,7 +14,7 @@ from wetlens.functions import labels as L
 from wetlens.functions import spectral
 from wetlens.functions.geo import position, to_grid, to_lonlat
 from wetlens.models import forest, head
-from wetlens.operators import agreement, blocks, evaluation, regions, windows
+from wetlens.operators import agreement, blocks, cuts, evaluation, regions, windows
 from wetlens.operators.negatives import sample
 from wetlens.sinks import files as out
 from wetlens.sinks import kml as sink
@@ -126,9 +126,11 @@ def test_score_regions_nulls_and_touching(spark):
 
 def test_outline_leaves_holes_out():
     cells = np.array([(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)])
-    ring = regions.outline(cells[:, 0], cells[:, 1])
+    (ring,) = regions.outlines(cells[:, 0], cells[:, 1])
     assert ring[0] == ring[-1] and set(ring) == {(0, 0), (3, 0), (3, 3), (0, 3)}
-    assert len(regions.outline(np.array([0, 1]), np.array([0, 1]))) == 5  # corner contact: one part
+    # cells that touch at a corner are two parts
+    assert [set(p) for p in regions.outlines(np.array([0, 1]), np.array([0, 1]))] == [{(0, 0), (1, 0), (1, 1), (0, 1)}, {(1, 1), (2, 1), (2, 2), (1, 2)}]
+    assert regions.outlines(np.zeros(0, int), np.zeros(0, int)) == []
 
 
 def test_two_models_by_boxes(spark):
@@ -453,6 +455,61 @@ def test_cli_guards():
     assert checked(parser().parse_args(["detect", "--imagery", "a", "--output", "b", "--rf-model", "m"])).threshold == 0.5
 
 
+def test_cuts(spark, tmp_path, monkeypatch):
+    """Windows and chips cut in the decoding task, against the pixels as rows."""
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 256, (3, 80, 100)).astype(np.uint8)
+    np.save(tmp_path / "a.npy", a)
+    at = f"file:{tmp_path}/a.npy"
+    places = spark.createDataFrame([(at, 0, 0, "x"), (at, -30, 60, "y"), (at, 500, 0, "z"), (f"file:{tmp_path}/none.npy", 0, 0, "n")], "path string, row_off int, col_off int, name string")
+    monkeypatch.setattr(cuts, "PER_TASK", 2)
+    c = cuts.cut(spark, str(tmp_path), places, 70)
+    got = {r["name"]: np.frombuffer(r["data"], np.uint8).reshape(3, 70, 70) for r in c.collect()}
+    assert set(got) == {"x", "y", "z"} and np.array_equal(got["x"], a[:, :70, :70]) and not got["z"].any()
+    assert np.array_equal(got["y"][:, 30:, :40], a[:, :40, 60:]) and not got["y"][:, :30].any() and not got["y"][:, :, 40:].any()
+    f = {r["name"]: r["features"] for r in cuts.features(c).collect()}
+    rows = px(spark, got["x"].astype(int)).withColumn("is_center", spectral.center(F.col("y"), F.col("x"), F.lit(70), F.lit(70)))
+    assert f["x"] == pytest.approx(spectral.features(rows, "path").first()["features"]) and f["x"] == pytest.approx(direct(got["x"][:, 3:67, 3:67]) + direct(got["x"]))
+    s = cuts.statistics(c.filter("name = 'x'")).first()
+    assert s["mean"] == pytest.approx((got["x"] / 255).mean((1, 2))) and s["std"] == pytest.approx((got["x"] / 255).std((1, 2)))
+    assert cuts.features(c.limit(0)).count() == 0
+
+
+def test_commands_end_to_end(spark, tmp_path, capsys, monkeypatch):
+    """From files alone: train, cnn-train, detect with either model and both, evaluate, embed, diagnose."""
+    from wetlens import cli
+
+    rng = np.random.default_rng(1)
+    a = rng.integers(60, 100, (3, 1024, 1024))
+    a[:, 256:768, 256:768] = np.stack([rng.integers(30, 60, (512, 512)), rng.integers(40, 80, (512, 512)), rng.integers(150, 200, (512, 512))])
+    (tmp_path / "img").mkdir()
+    np.save(tmp_path / "img/t.npy", a.astype(np.uint8))
+    (tmp_path / "img/t.json").write_text(json.dumps({"epsg": 3067, "x0": 327488.0, "y0": 6821512.0, "res": 1.0, "width": 1024, "height": 1024, "bands": 3}))
+    places = spark.createDataFrame([(328000.0 + d, 6821000.0 + e) for d in (-9, 0, 9) for e in (-9, 0, 9)], "e double, n double").select(to_lonlat(F.col("e"), F.col("n")).alias("p")).select("p.*").collect()
+    marks = "".join(f"<Placemark><name>wet_forest</name><Point><coordinates>{p['lon']!r},{p['lat']!r},0</coordinates></Point></Placemark>" for p in places)
+    (tmp_path / "l.kml").write_text(f'<kml xmlns="http://www.opengis.net/kml/2.2"><Document>{marks}</Document></kml>')
+    monkeypatch.setattr(cli.SparkSession.builder, "getOrCreate", lambda: spark)
+
+    def run(*args):
+        cli.main([str(x) for x in args])
+        return capsys.readouterr().out
+
+    io = ("--imagery", tmp_path / "img", "--labels", tmp_path / "l.kml")
+    text = run("train", *io, "--model", tmp_path / "rf", "--manifest", tmp_path / "m.csv", "--chips", tmp_path / "chips")
+    assert "wet_forest: 9 chips" in text and len(list((tmp_path / "chips").glob("*.npy"))) == 18
+    text = run("cnn-train", *io, "--model", tmp_path / "cnn", "--norm-stats", tmp_path / "n.json", "--epochs", 20, "--lr", 0.01)
+    assert "epoch 19" in text and len(json.loads((tmp_path / "n.json").read_text())["mean"]) == 3
+    cnn, rf = ("--cnn-model", tmp_path / "cnn", "--norm-stats", tmp_path / "n.json"), ("--rf-model", tmp_path / "rf")
+    text = run("detect", "--imagery", tmp_path / "img", "--output", tmp_path / "o.kml", "--method", "both", *rf, *cnn, "--windows")
+    assert "windows passed" in text and "placemarks" in text and (tmp_path / "o.kml").exists()
+    text = run("evaluate", "--manifest", tmp_path / "m.csv", "--chips", tmp_path / "chips", *rf, *cnn, "--test-fraction", 0.5)
+    assert "rf" in text and "cnn" in text
+    run("embed", "--chips", tmp_path / "chips", "--output", tmp_path / "e", "--norm-stats", tmp_path / "n.json")
+    assert spark.read.parquet(str(tmp_path / "e")).count() == 18
+    text = run("diagnose", "--imagery", tmp_path / "img", "--model", tmp_path / "rf", "--lon", places[0]["lon"], "--lat", places[0]["lat"], "--out", tmp_path / "c.png")
+    assert "dam" in text
+
+
 def test_diagnosis_and_evaluation(spark):
     rng = np.random.default_rng(0)
     a = rng.integers(0, 256, (3, 64, 64))

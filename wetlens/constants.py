@@ -19,6 +19,8 @@ LABELS = {"negative": 0, "wet_forest": 1, "beaver_flood": 1, "unknown": 1}
 OTHER_LABEL = 2
 #: Part of a chip's file name by label.
 CHIP_TAGS = {0: "neg", 1: "dam", 2: "flood"}
+#: Name of a label in reports; any other is a question mark.
+CLASS_NAMES = {0: "negative", 1: "dam", 2: "flood"}
 THRESHOLD = 0.5
 TREES, SEED = 100, 42
 TEST_SHARE = 0.2

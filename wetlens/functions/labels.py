@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wetlens.constants import LABELS, OTHER_LABEL
+from wetlens.constants import CLASS_NAMES, LABELS, OTHER_LABEL
 
 _SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
@@ -26,6 +26,12 @@ def collapsed(value: Column) -> Column:
     return F.least(value, F.lit(1))
 
 
+def class_name(value: Column) -> Column:
+    """A label's name in reports."""
+    table = F.create_map(*(F.lit(x) for pair in CLASS_NAMES.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, value), F.lit("?"))
+
+
 def tier(confidence: Column) -> Column:
     """high from 0.8, medium from 0.6, else low (NaN and NULL too)."""
     c = F.nanvl(confidence, F.lit(-1.0))

@@ -7,6 +7,7 @@ of a chip is a column of embeddings; the head's weights are a small fixed-size t
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -68,26 +69,34 @@ def augmented(t: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return t * rng.uniform(0.8, 1.2, (t.shape[0], 1, 1)).astype(t.dtype)
 
 
-def encode(chips: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], mean=None, std=None, batch: int = BATCH) -> DataFrame:
-    """chips (chip_id, bands, h, w, data) with ``embedding``: the encoder's output of batches of tensors.
+def encode(chips: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], mean=None, std=None, batch: int = BATCH, variants: int = 0, seed: int = 42) -> DataFrame:
+    """chips (keys, bands, h, w, data) as keys, variant and ``embedding``: the encoder's output of batches of tensors.
 
-    The encoder gets (n, 6, 3, side, side): three bands in six slots, one frame three times.
+    The encoder gets (n, 6, 3, side, side): three bands in six slots, one frame three times.  Variant 0 is
+    the chip; for training, ``variants`` more are augmented, by draws that depend on seed, chip and variant only.
     """
-    schema = T.StructType([chips.schema["chip_id"], T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    keys = [f for f in chips.schema.fields if f.name not in ("bands", "h", "w", "data")]
+    schema = T.StructType([*keys, T.StructField("variant", T.IntegerType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    names = [f.name for f in keys]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), batch):
-                part = b.iloc[at : at + batch]
+            todo = [(i, v) for i in range(len(b)) for v in range(variants + 1)]
+            for at in range(0, len(todo), batch):
+                part = todo[at : at + batch]
                 x = []
-                for bands, h, w, data in zip(part["bands"], part["h"], part["w"], part["data"]):
+                for i, variant in part:
+                    bands, h, w, data = (b[c].iloc[i] for c in ("bands", "h", "w", "data"))
                     t = tensor(np.frombuffer(data, np.uint8).reshape(bands, h, w), mean, std)
+                    if variant:
+                        t = augmented(t, np.random.default_rng([seed, variant, zlib.crc32(data)]))
                     six = np.zeros((6, *t.shape[1:]), np.float32)
                     six[1], six[2], six[3] = t[2], t[1], t[0]
                     x.append(np.repeat(six[:, None], 3, 1))
-                yield pd.DataFrame({"chip_id": part["chip_id"], "embedding": [e.astype(np.float32).tolist() for e in encoder(np.stack(x))]})
+                out = b[names].iloc[[i for i, _ in part]]
+                yield out.assign(variant=np.array([v for _, v in part], np.int32), embedding=[e.astype(np.float32).tolist() for e in encoder(np.stack(x))])
 
-    return chips.select("chip_id", "bands", "h", "w", "data").mapInPandas(run, schema)
+    return chips.select(*names, "bands", "h", "w", "data").mapInPandas(run, schema)
 
 
 def forward(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
@@ -117,8 +126,10 @@ def fit(x: np.ndarray, y: np.ndarray, classes: int = 2, hidden: int = 256, epoch
     for epoch in range(epochs):
         lr = rate / 2 * (1 + math.cos(math.pi * epoch / epochs))
         loss = 0.0
+        # each row once an epoch, in an order of its own
+        order = rng.permutation(train)
         for at in range(0, len(train), BATCH * 4):
-            i = rng.permutation(train)[: BATCH * 4] if at == 0 else train[at : at + BATCH * 4]
+            i = order[at : at + BATCH * 4]
             g, part = _gradient(x[i], y[i], w, dropout, rng)
             loss += part * len(i)
             step += 1

@@ -112,16 +112,18 @@ def merge_windows(boxes: DataFrame, rasters: DataFrame, keys: list[str], min_are
     return area.filter(F.col("area_m2") >= min_area).join(conf, [*keys, "comp"], "left").select(*keys, "comp", "area_m2", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
-def outline(r: np.ndarray, c: np.ndarray) -> list[tuple[int, int]]:
-    """The outer ring of a set of unit cells as closed (column, row) corners, holes left out."""
+def outlines(r: np.ndarray, c: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The outer ring of each part of a set of unit cells, as closed (column, row) corners, holes left out.
+
+    Cells that touch at a corner only are different parts.
+    """
     cells = set(zip(r.tolist(), c.tolist()))
     after: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for y, x in cells:
         for a, b, beside in (((x, y), (x + 1, y), (y - 1, x)), ((x + 1, y), (x + 1, y + 1), (y, x + 1)), ((x + 1, y + 1), (x, y + 1), (y + 1, x)), ((x, y + 1), (x, y), (y, x - 1))):
             if beside not in cells:
                 after.setdefault(a, []).append(b)
-    best: list[tuple[int, int]] = []
-    best_area = -1.0
+    out = []
     while after:
         start = min(after)
         ring, at, came = [start], start, (1, 0)
@@ -136,22 +138,23 @@ def outline(r: np.ndarray, c: np.ndarray) -> list[tuple[int, int]]:
             ring.append(at)
             if at == start:
                 break
-        area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))) / 2
-        if area > best_area:
-            best, best_area = ring, area
-    keep = [p for i, p in enumerate(best[:-1]) if i == 0 or (best[i][0] - best[i - 1][0]) * (best[i + 1][1] - best[i][1]) != (best[i][1] - best[i - 1][1]) * (best[i + 1][0] - best[i][0])]
-    return [*keep, keep[0]] if keep else []
+        # holes run the other way round
+        if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:])) > 0:
+            keep = [p for i, p in enumerate(ring[:-1]) if i == 0 or (ring[i][0] - ring[i - 1][0]) * (ring[i + 1][1] - ring[i][1]) != (ring[i][1] - ring[i - 1][1]) * (ring[i + 1][0] - ring[i][0])]
+            out.append([*keep, keep[0]])
+    return out
 
 
 def rings(comps: DataFrame, keys: list[str], cell: int = PATCH) -> DataFrame:
-    """keys (with path, x0, y0, res), comp, ring: array<struct<x, y>> of each region's outer ring in metres."""
+    """keys (with path, x0, y0, res), comp, part, ring: array<struct<x, y>> of the outer ring of each part of a region, in metres."""
     point = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-    schema = T.StructType([*(comps.schema[k] for k in keys), T.StructField("comp", T.LongType()), T.StructField("ring", point)])
+    schema = T.StructType([*(comps.schema[k] for k in keys), T.StructField("comp", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("ring", point)])
 
     def trace(table: pa.Table) -> pa.Table:
         x0, y0, res = (table.column(n)[0].as_py() for n in ("x0", "y0", "res"))
-        ring = [{"x": x0 + x * cell * res, "y": y0 - y * cell * res} for x, y in outline(table.column("r").to_numpy(), table.column("c").to_numpy())]
+        found = [[{"x": x0 + x * cell * res, "y": y0 - y * cell * res} for x, y in ring] for ring in outlines(table.column("r").to_numpy(), table.column("c").to_numpy())]
         arrow = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-        return pa.table({**{k: table.column(k).slice(0, 1) for k in keys}, "comp": table.column("comp").slice(0, 1), "ring": pa.array([ring], arrow)})
+        same = lambda n: pa.array([table.column(n)[0].as_py()] * len(found), table.schema.field(n).type)
+        return pa.table({**{k: same(k) for k in keys}, "comp": same("comp"), "part": pa.array(range(len(found)), pa.int32()), "ring": pa.array(found, arrow)})
 
     return comps.groupBy(*keys, "comp").applyInArrow(trace, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,11 +39,19 @@ def window_features(pixels: DataFrame, windows: DataFrame, size: int = TILE) ->
 def detect_windows(rasters: DataFrame, pixels: DataFrame, score, segments: DataFrame | None = None, threshold: float = THRESHOLD, min_area: float = MIN_AREA_M2) -> DataFrame:
     """Regions from sliding windows: path, comp, area_m2, confidence, and their 256-pixel cells r, c.
 
-    One row per cell.  ``score`` adds predicted and confidence to window features.  The mask restricts the
-    windows before any pixel is read.
+    One row per cell.  ``score`` adds predicted and confidence to window features, here made of pixel rows;
+    :func:`detect_scored` takes windows scored in any other way.
     """
     w = written(masked_windows(rasters, segments), "windows")
-    scored = forest.detected(score(window_features(pixels, w)), threshold)
+    return detect_scored(rasters, w, score(window_features(pixels, w)), threshold, min_area)
+
+
+def detect_scored(rasters: DataFrame, w: DataFrame, scored: DataFrame, threshold: float = THRESHOLD, min_area: float = MIN_AREA_M2) -> DataFrame:
+    """Regions of the windows ``w`` (:func:`masked_windows`) that ``scored`` (path, row_off, col_off, predicted, confidence) detects.
+
+    path, comp, area_m2, confidence, and the 256-pixel cells r, c; one row per cell.
+    """
+    scored = forest.detected(scored, threshold)
     boxes = scored.join(w, ["path", "row_off", "col_off"]).withColumn("cand_id", F.xxhash64("path", "row_off", "col_off")).select("path", "cand_id", "confidence", "xmin", "ymin", "xmax", "ymax")
     boxes = written(boxes, "boxes")
     found = regions.merge_windows(boxes, rasters, ["path"], min_area)
@@ -69,19 +77,28 @@ def detect_dense(rasters: DataFrame, pixels: DataFrame, score, segments: DataFra
 
 
 def outlined(found: DataFrame, rasters: DataFrame, cell: int, model: str | None) -> DataFrame:
-    """roi_idx, geom, confidence, area_m2, model_type of regions given by cells, for the KML sink."""
+    """roi_idx, region, geom, confidence, area_m2, model_type of regions given by cells, for the KML sink.
+
+    A region of several parts (they touch at corners, or were united) has one row per part, each with the region's area.
+    """
     at = found.join(rasters.select("path", "x0", "y0", "res"), "path").select("path", "x0", "y0", "res", F.col("comp").cast("long").alias("comp"), "r", "c")
-    rings = regions.rings(at, ["path", "x0", "y0", "res"], cell).select("path", "comp", F.col("ring").alias("geom"))
+    rings = regions.rings(at, ["path", "x0", "y0", "res"], cell).select("path", "comp", "part", F.col("ring").alias("geom"))
     facts = found.groupBy("path", "comp").agg(F.first("confidence").alias("confidence"), F.first("area_m2").alias("area_m2"), *([F.first("model_type").alias("model_type")] if model is None else []))
     kind = F.col("model_type") if model is None else F.lit(model)
-    return rings.join(facts, ["path", "comp"]).select(F.concat_ws("|", "path", F.lpad(F.col("comp").cast("string"), 20, "0")).alias("roi_idx"), "geom", "confidence", "area_m2", kind.alias("model_type"))
+    return rings.join(facts, ["path", "comp"]).select(F.concat_ws("|", "path", F.lpad(F.col("comp").cast("string"), 20, "0"), F.lpad(F.col("part").cast("string"), 6, "0")).alias("roi_idx"), F.concat_ws("|", "path", "comp").alias("region"), "geom", "confidence", "area_m2", kind.alias("model_type"))
 
 
-def both_models(rf: DataFrame, cnn: DataFrame, rasters: DataFrame) -> DataFrame:
-    """roi_idx, geom, confidence, area_m2, model_type of both models' regions reconciled.
+def patches(found: DataFrame, rasters: DataFrame) -> DataFrame:
+    """Regions given by 256-pixel cells, given by the 64-pixel cells inside the raster instead."""
+    n = STRIDE // PATCH
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(n) for j in range(n)))
+    fine = found.withColumn("d", F.explode(steps)).withColumn("r", F.col("r") * n + F.col("d.i")).withColumn("c", F.col("c") * n + F.col("d.j")).drop("d")
+    inside = fine.join(rasters.select("path", "height", "width"), "path").filter((F.col("r") * PATCH < F.col("height")) & (F.col("c") * PATCH < F.col("width")))
+    return inside.select(*found.columns)
 
-    A union of regions that only touch at a corner is drawn by its largest part.
-    """
+
+def both_models(rf: DataFrame, cnn: DataFrame, rasters: DataFrame) -> DataFrame:
+    """roi_idx, region, geom, confidence, area_m2, model_type of both models' regions reconciled."""
     facts, cells = merge_regions(rf, cnn, rasters)
     numbered = facts.withColumn("comp", F.xxhash64("path", "roi").bitwiseAND(2**62 - 1))
     return outlined(cells.join(numbered, ["path", "roi"]), rasters, PATCH, None)
@@ -135,14 +152,24 @@ def evaluate(chip_rows: DataFrame, models: dict, share: float = TEST_SHARE, seed
     return out
 
 
+def _at(spark: SparkSession, lon: float, lat: float) -> DataFrame:
+    """id, x, y of one point."""
+    return spark.createDataFrame([(0, lon, lat)], "id long, lon double, lat double").select("id", to_grid(F.col("lon"), F.col("lat")).alias("g")).select("id", F.col("g.e").alias("x"), F.col("g.n").alias("y"))
+
+
+def covering_raster(spark: SparkSession, rasters: DataFrame, lon: float, lat: float) -> Row:
+    """The first raster that covers a point; fails where none does."""
+    tile = chips.covering(_at(spark, lon, lat), extents(rasters)).select("region")
+    found = rasters.join(tile, F.col("path") == F.col("region"), "left_semi").first()
+    if found is None:
+        raise ValueError("no raster covers the point")
+    return found
+
+
 def diagnose(spark: SparkSession, rasters: DataFrame, pixels: DataFrame, lon: float, lat: float) -> tuple[DataFrame, DataFrame]:
     """The chip around a point, moved inside the first raster that covers it: (its pixels, its features and band statistics)."""
-    point = spark.createDataFrame([(0, lon, lat)], "id long, lon double, lat double").select("id", to_grid(F.col("lon"), F.col("lat")).alias("g")).select("id", F.col("g.e").alias("x"), F.col("g.n").alias("y"))
-    tile = chips.covering(point, extents(rasters)).select("region")
-    mine = rasters.join(tile, F.col("path") == F.col("region"), "left_semi")
-    if mine.isEmpty():
-        raise ValueError("no raster covers the point")
-    px = chips.chip_pixels(chips.clamped(point, mine), pixels)
+    mine = rasters.filter(F.col("path") == covering_raster(spark, rasters, lon, lat)["path"])
+    px = chips.chip_pixels(chips.clamped(_at(spark, lon, lat), mine), pixels)
     n = F.lit(TILE)
     marked = px.withColumn("is_center", spectral.center(F.col("y"), F.col("x"), n, n))
     bands = px.agg(*(f(b).alias(f"{b}_{k}") for b in spectral.BANDS for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg))))

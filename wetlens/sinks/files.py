@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,28 @@ def write_chips(pixels: DataFrame, folder: str, size: int) -> DataFrame:
     return pixels.groupBy("name").applyInPandas(save, "name string, n_bytes long")
 
 
+def write_cuts(cuts: DataFrame, folder: str) -> DataFrame:
+    """name, n_bytes of cuts (name, bands, h, w, data) written as .npy into a folder all executors share.
+
+    Each file is written under a name of its own and renamed into place, so a repeated task does no harm.
+    """
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            sizes = []
+            for name, bands, h, w, data in zip(b["name"], b["bands"], b["h"], b["w"], b["data"]):
+                path = os.path.join(folder, name)
+                part = f"{path}.{os.getpid()}.part"
+                with open(part, "wb") as f:
+                    np.save(f, np.frombuffer(data, np.uint8).reshape(bands, h, w))
+                os.replace(part, path)
+                sizes.append(os.path.getsize(path))
+            yield pd.DataFrame({"name": b["name"], "n_bytes": sizes})
+
+    return cuts.select("name", "bands", "h", "w", "data").mapInPandas(save, "name string, n_bytes long")
+
+
 def preview(pixels: DataFrame):
     """pixels with each band stretched to 0..1 over the least and largest value of all bands."""
     v = F.array("nir", "red", "grn")

@@ -35,7 +35,8 @@ def vector_files(place: str) -> list[str]:
     return sorted(e.path for e in os.scandir(place) if e.is_file() and os.path.splitext(e.name)[1].lower() in VECTOR_SUFFIXES)
 
 
-def _npy(content: bytes) -> np.ndarray:
+def npy(content: bytes) -> np.ndarray:
+    """The array of a .npy file; arrays with objects in them are refused."""
     return np.load(io.BytesIO(content), allow_pickle=False)
 
 
@@ -62,7 +63,7 @@ def rasters(spark: SparkSession, folder: str, check: bool = True) -> DataFrame:
     return out
 
 
-def pixels(spark: SparkSession, folder: str, decode: Callable[[bytes], np.ndarray] = _npy, glob: str = "*.npy") -> DataFrame:
+def pixels(spark: SparkSession, folder: str, decode: Callable[[bytes], np.ndarray] = npy, glob: str = "*.npy") -> DataFrame:
     """Long-form pixels of all rasters under a folder; ``decode`` turns a file into (bands, rows, columns).
 
     One task reads one file and yields it in strips of rows, so no raster is expanded as a whole.
@@ -88,7 +89,7 @@ def chips(spark: SparkSession, folder: str, glob: str = "*.npy") -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            a = [_npy(c) for c in b["content"]]
+            a = [npy(c) for c in b["content"]]
             yield pd.DataFrame({"chip_id": b["path"], "bands": [v.shape[0] for v in a], "h": [v.shape[1] for v in a], "w": [v.shape[2] for v in a], "data": [np.ascontiguousarray(v, np.uint8).tobytes() for v in a]})
 
     return files.select("path", "content").mapInPandas(read, "chip_id string, bands int, h int, w int, data binary")
