@@ -278,6 +278,18 @@ def test_newton_solves_the_dual(spark):
     assert lam[1, "b"] == float("inf")
 
 
+def test_small_sources_get_their_share(spark):
+    """Sources of three texts: what is reached is within one text of the target, whatever the hash does."""
+    rows = [(i, f"s{i // 3}", 40 + 17 * (i % 3)) for i in range(60)] + [(100 + i, "big", 100 + i % 50) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    t = spark.createDataFrame([(1, f"s{k}", 0.02, 3) for k in range(20)] + [(1, "big", 0.6, 2)], "mix_id int, source string, target_share double, max_repeat int")
+    got = mixing.shares(mixing.mix(d, t, total=10_000), t).collect()
+    assert len(got) == 21
+    for r in got:
+        assert abs(r["n_tokens"] - 10_000 * r["target_share"]) <= (74 if r["source"] != "big" else 150), r
+        assert r["error"] == pytest.approx(r["share"] - r["target_share"]) and r["most_copies"] <= r["max_repeat"]
+
+
 # 8: shared spans
 
 
@@ -317,18 +329,39 @@ def test_shared_spans_against_brute_force(spark, hot):
     for r in s.stretches().collect():
         per[r["doc"]] = per.get(r["doc"], 0) + r["end"] - r["start"]
     assert {k: per.get(k, 0) for k in rows} == cover
-    if hot == 1:
-        parse: dict = {}
-        for r in s.parse().collect():
-            parse.setdefault(r["doc"], []).append((r["start"], r["end"]))
-            assert rows[r["doc"]][r["start"] : r["end"]] in rows[r["other"]] and r["other"] != r["doc"]
-        for k, v in parse.items():
-            v.sort()
-            assert all(a[1] <= b[0] for a, b in zip(v, v[1:])) and sum(e - a for a, e in v) == cover[k]
-        assert set(parse) == {k for k in rows if cover[k]}
-
-
-def test_shared_spans_of_many_copies_and_quotes(spark):
+    links: dict = {k: 0 for k in rows}
+    for pair in want:
+        for k in pair:
+            links[k] += 1
+    linked = {r["doc"]: r for r in s.linked().collect()}
+    assert {k: linked[k]["links"] if k in linked else 0 for k in rows} == links and linked[10]["rep"] == 6
+    assert set(linked) == {k for k, v in rows.items() if len(v) >= 200}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", min_size=1, max_size=20), st.integers(-1, 2)), min_size=1, max_size=6), st.integers(1, 3))
+def test_greedy_factors_against_brute_force(segments, times):
+    """Each factor is the longest stretch from its start that stands in another owner's segment."""
+    segs, owner = [s * times for s, _ in segments], np.array([o for _, o in segments])
+    index = spans.Index([spans._codes(s) for s in segs])
+    longest = index.longest(owner)
+    want = {}
+    for i, x in enumerate(segs):
+        others = [y for j, y in enumerate(segs) if j != i and owner[j] != owner[i]]
+        for p in range(len(x)):
+            n = len(x) - p
+            while owner[i] >= 0 and n and not any(x[p : p + n] in y for y in others):
+                n -= 1
+            want[index.start[i] + p] = n
+    assert {k: longest[k] for k in want} == want
+    f, e, nxt = index.factors(longest)
+    assert all(b - a == max(1, want[a]) for a, b in zip(f, e))
+    assert sorted(f) == f.tolist() and sum(e - f) == sum(map(len, segs))
+    assert all(n == (b if b in index.end else e[k + 1]) for k, (b, n) in enumerate(zip(e, nxt)))
+
+
+@pytest.mark.parametrize("hot", [5, 500])
+def test_shared_spans_of_many_copies_and_quotes(spark, hot):
     """A third of the texts are copies, another third quote one passage; keys are cut into parts."""
     rng = random.Random(1)
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
@@ -337,7 +370,7 @@ def test_shared_spans_of_many_copies_and_quotes(spark):
     d = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     was, spans.PART = spans.PART, 7
     try:
-        got = [tuple(r) for r in spans.Shared(d, hot=5).pairs().collect()]
+        got = [tuple(r) for r in spans.Shared(d, hot=hot).pairs().collect()]
     finally:
         spans.PART = was
     assert len(got) == len(set(got)) and set(got) == brute(rows)[0]

@@ -12,7 +12,8 @@ from wetlens.session import load, written
 
 #: Newton stops when every constraint holds to this share of its target.
 TOLERANCE = 1e-7
-ROUNDS = 60
+#: Rounds after which a cell that has not converged is an error; each halves a bracket at least.
+ROUNDS = 500
 #: Classes of the rounding's correction; two passes tell apart a millionth of a copy.
 CLASSES = 1024
 _EMPTY = -745.0
@@ -56,6 +57,8 @@ def _solve(histogram: DataFrame, cells: dict) -> dict:
             st["l"] = max(-1e6, min(1e6, step))
             if lo is not None and hi is not None and hi - lo < 1e-13 * max(1.0, abs(lo)):
                 open_.discard(k)
+    if open_:
+        raise RuntimeError(f"no rates found for {sorted(open_)}")
     return {k: st["l"] for k, st in state.items()}
 
 
@@ -97,10 +100,12 @@ def _shift(docs: DataFrame, cells: dict) -> dict:
         for r in sums:
             by.setdefault((r["mix_id"], r["source"]), {})[r["c"]] = r["t"]
         for k in base:
-            need, at, last = abs(miss[k]), 0, width == 1.0
+            need, at = abs(miss[k]), 0
             for c in sorted(by.get(k, {})):
                 t = by[k][c]
-                if t > need and (last or t - need > need):
+                # the first pass stops before the class that is too much, and the second one looks inside it
+                if t > need and (width == 1.0 or t - need > need):
+                    at = c
                     break
                 need, at = need - t, c + 1
                 if need <= 0:
@@ -151,16 +156,22 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataF
 
 
 def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
-    """(mix_id, source, target_share, share, n_texts, n_tokens, most_copies) reached per mix and source."""
+    """What was reached per mix and source: target_share, share, error, n_texts, n_tokens, mix_tokens, most_copies, max_repeat.
+
+    ``error`` is share less target_share, ``mix_tokens`` the size of the mix.
+    """
     got = chosen.groupBy("mix_id", "source").agg(F.count("*").alias("n_texts"), F.sum(F.col("copies") * F.col("n_tokens")).alias("n_tokens"), F.max("copies").alias("most_copies"))
     full = targets.join(got, ["mix_id", "source"], "left").fillna(0, ["n_texts", "n_tokens", "most_copies"])
-    total = full.groupBy("mix_id").agg(F.sum("n_tokens").alias("all_tokens"))
-    share = F.when(F.col("all_tokens") > 0, F.col("n_tokens") / F.col("all_tokens")).otherwise(F.lit(0.0))
-    return full.join(total, "mix_id").select("mix_id", "source", "target_share", share.alias("share"), "n_texts", "n_tokens", "most_copies", "max_repeat")
+    total = full.groupBy("mix_id").agg(F.sum("n_tokens").alias("mix_tokens"))
+    share = F.when(F.col("mix_tokens") > 0, F.col("n_tokens") / F.col("mix_tokens")).otherwise(F.lit(0.0))
+    return full.join(total, "mix_id").select("mix_id", "source", "target_share", share.alias("share"), (share - F.col("target_share")).alias("error"), "n_texts", "n_tokens", "mix_tokens", "most_copies", "max_repeat")
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(sized(load(spark, sf_dir, "documents"), "source"), load(spark, sf_dir, "mix_target"))
+def _mixed(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """The mixes; ``whole``: as large as the corpus, with small sources repeated up to their cap."""
+    sizes = written(sized(load(spark, sf_dir, "documents"), "source"), "tokens")
+    total = sizes.agg(F.sum("n_tokens")).first()[0] if whole else None
+    return mix(sizes, load(spark, sf_dir, "mix_target"), total)
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,5 +184,33 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(_mixed(spark, sf_dir), load(spark, sf_dir, "mix_target"))
 
 
-QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares}
-SQL: dict[str, str] = {}
+def p7_whole_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen texts with their copies, of mixes as large as the corpus."""
+    return _mixed(spark, sf_dir, True)
+
+
+def p7_whole_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached by mixes as large as the corpus; sources too small for theirs stand at their cap."""
+    return shares(_mixed(spark, sf_dir, True), load(spark, sf_dir, "mix_target"))
+
+
+def p7_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every mix: texts of the table, of their own source, chosen once, with one to max_repeat copies.
+
+    ``n_bad`` counts the chosen rows of which it does not, 0 by construction.
+    """
+    d, t = load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_target")
+    chosen = written(_mixed(spark, sf_dir), "mix")
+    known = chosen.join(d.filter("text is not null and text != ''").select("doc_id", "source", F.lit(True).alias("known")), ["doc_id", "source"], "left").join(t, ["mix_id", "source"], "left")
+    bad = ~F.coalesce(F.col("known") & F.col("copies").between(1, F.col("max_repeat")), F.lit(False))
+    twice = chosen.groupBy("mix_id", "doc_id").agg(F.count("*").alias("m")).groupBy("mix_id").agg(F.sum(F.col("m") - 1).alias("twice"))
+    per = known.groupBy("mix_id").agg(F.sum(bad.cast("long")).alias("bad"), F.count_distinct("source").alias("n_sources"))
+    return per.join(twice, "mix_id").select("mix_id", "n_sources", (F.col("bad") + F.col("twice")).alias("n_bad"))
+
+
+QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares, "p7_whole_mix": p7_whole_mix, "p7_whole_shares": p7_whole_shares, "p7_limits": p7_limits}
+SQL: dict[str, str] = {
+    # each source that is there, with a share, is in the mix
+    "p7_limits": """SELECT mix_id, count(*) AS n_sources, cast(0 AS BIGINT) AS n_bad FROM mix_target
+      WHERE target_share > 0 AND max_repeat > 0 AND source IN (SELECT source FROM documents WHERE text IS NOT NULL AND text != '') GROUP BY 1""",
+}

@@ -1,11 +1,13 @@
-"""Long exact spans shared between texts, by relative Lempel-Ziv factors.
-
-Every text is factored against blocks of an index of all texts.  The index holds
-anchors: stretches of ``K`` characters that are the smallest by hash among ``SPAN - K + 1``
-neighbours, so two texts that share ``SPAN`` characters share an anchor inside them.  A
-block holds all texts' surroundings of some anchors; a text's factor against another is
-the match grown from an anchor to both sides, that is, across the boundary a one-way
-parse would have set there.  Factors of ``SPAN`` or more characters are duplicate spans.
+"""Long exact spans shared between texts, by relative Lempel-Ziv parsing.
+
+What texts may share is cut out of them around anchors: stretches of ``K`` characters that are the
+smallest by hash among ``SPAN - K + 1`` neighbours, so two texts that share ``SPAN`` characters share an
+anchor inside them.  Reference blocks hold the surroundings of some anchors of all texts, indexed by a
+suffix array.  Within a block every text's surroundings are factored greedily, from left to right,
+against the surroundings of all other texts: a factor is the longest stretch that stands in one of them.
+A shared span has at most one factor boundary inside, so windows of ``SPAN`` characters that lie in one factor or
+across the boundary of two are looked up in the index, and those that stand in another text become
+duplicate spans.
 """
 
 from __future__ import annotations
@@ -19,15 +21,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wetlens.operators import skew
 from wetlens.session import load, written
 
 SPAN = 200
 #: Characters of an anchor, as a share of the span.
 K = 100
-#: Occurrences from which an anchor's surroundings are no longer compared pair by pair.
-HOT = 200
-#: Surroundings a block holds, and members of a class a task joins.
-BLOCK, PART = 20_000, 2_000
+#: Surroundings a reference block holds on average, and members of a set a task joins.
+BLOCK, PART = 2_000, 2_000
+#: Occurrences of one anchor beyond which they do not go into a block, but meet by their windows.
+HOT = 500
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1))
 
@@ -103,7 +106,7 @@ def _codes(text: str) -> np.ndarray:
 
 _ANCHORS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("hash", T.LongType())])
 _AROUND = T.StructType([*_ANCHORS.fields, T.StructField("left", T.IntegerType()), T.StructField("around", T.StringType()), T.StructField("hot", T.BooleanType())])
-_FACTORS = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b")] + [T.StructField(n, T.IntegerType()) for n in ("a0", "b0", "len")])
+_FOUND = T.StructType([T.StructField("doc", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
 _KEYS = T.StructType([T.StructField(n, T.LongType()) for n in ("k1", "k2", "cls")] + [T.StructField("shift", T.IntegerType())])
 
 
@@ -112,47 +115,175 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f.name for f in _AROUND.fields])
 
 
-def factors(table: pa.Table, span: int, k: int) -> pa.Table:
-    """The factors of ``span`` or more characters between the texts of one block.
+class Index:
+    """A suffix array over segments of text, built by doubling; a character of its own stands between segments.
 
-    They are cut to ``span - k`` characters on either side of the anchor, which neither
-    loses a pair nor, over all anchors, a character of a span.
+    ``ranks[k]`` numbers the stretches of ``widths[k]`` characters in their order, so stretches are
+    equal where their numbers are; the last width is no less than any segment.
     """
-    t = table.sort_by([("hash", "ascending"), ("doc", "ascending"), ("pos", "ascending")])
-    hashes, docs, pos, left = (t.column(c).to_numpy() for c in ("hash", "doc", "pos", "left"))
-    n, side = len(t), span - k
-    # one row per occurrence, anchors aligned; what is missing equals nothing
-    m = np.repeat((np.arange(n, dtype=np.uint32) + np.uint32(0x110000))[:, None], k + 2 * side, 1)
-    for i, (s, lead) in enumerate(zip(t.column("around").to_pylist(), left)):
-        c = _codes(s)
-        m[i, side - lead : side - lead + len(c)] = c
-    start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if n else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, n))
-    out: list[tuple] = []
-    later = np.repeat(start + size, size) - np.arange(n) - 1
-    batch, ends = 20_000, np.cumsum(later)
-    at = 0
-    while at < n:
-        done = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, done + batch, "right")))
-        w = later[at:stop]
-        i = np.repeat(np.arange(at, stop), w)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
-        at = stop
-        other = docs[i] != docs[j]
-        i, j = i[other], j[other]
-        if not len(i):
-            continue
-        same = m[i] == m[j]
-        anchor = same[:, side : side + k].all(1)
-        right = np.where(same[:, side + k :].all(1), side, np.argmin(same[:, side + k :], 1))
-        before = same[:, :side][:, ::-1]
-        lead = np.where(before.all(1), side, np.argmin(before, 1))
-        good = anchor & (lead + k + right >= span)
-        i, j, lead, right = i[good], j[good], lead[good], right[good]
-        out.append((docs[i], docs[j], pos[i] - lead, pos[j] - lead, lead + k + right))
-    cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
-    return pa.table({f.name: pa.array(c, pa.int64() if f.dataType == T.LongType() else pa.int32()) for f, c in zip(_FACTORS.fields, cols)})
+
+    def __init__(self, segments: list[np.ndarray]):
+        lengths = np.array([len(c) for c in segments], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
+        self.end = self.start + lengths
+        n = self.n = int(lengths.sum() + len(segments))
+        self.seg = np.repeat(np.arange(len(segments)), lengths + 1)
+        codes = np.zeros(n, np.int64)
+        for c, at in zip(segments, self.start):
+            codes[at : at + len(c)] = c
+            codes[at : at + len(c)] += 1
+        # characters are numbered by those that occur, and as many as fit are packed into one number
+        used = np.zeros(0x110002, bool)
+        used[codes] = True
+        codes = (np.cumsum(used) - 1)[codes]
+        bits = max(1, int(codes.max(initial=0)).bit_length())
+        width = 62 // bits
+        packed = np.zeros(n, np.int64)
+        for k in range(width):
+            packed <<= bits
+            packed[: max(0, n - k)] |= codes[k:]
+        self.codes = codes
+        self.widths, self.ranks = [width], [np.unique(packed, return_inverse=True)[1].astype(np.int32)]
+        while width <= lengths.max(initial=0):
+            key = self.ranks[-1] * np.int64(n + 1)
+            key[: max(0, n - width)] += self.ranks[-1][width:] + 1
+            self.ranks.append(np.unique(key, return_inverse=True)[1].astype(np.int32))
+            width *= 2
+            self.widths.append(width)
+        self.array = np.argsort(self.ranks[-1], kind="stable")
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Characters that the suffixes at i and j have in common."""
+        out = np.zeros(len(i), np.int64)
+        for w, r in zip(self.widths[::-1], self.ranks[::-1]):
+            a, b = i + out, j + out
+            inside = (a < self.n) & (b < self.n)
+            out += np.where(inside & (r[np.minimum(a, self.n - 1)] == r[np.minimum(b, self.n - 1)]), w, 0)
+        for _ in range(self.widths[0] - 1):
+            a, b = i + out, j + out
+            inside = (a < self.n) & (b < self.n)
+            out += inside & (self.codes[np.minimum(a, self.n - 1)] == self.codes[np.minimum(b, self.n - 1)])
+        return out
+
+    def longest(self, owner: np.ndarray) -> np.ndarray:
+        """For each position, the longest stretch from it that stands in a segment of another owner.
+
+        ``owner``: a number per segment; a negative one is shared, so its whole segment stands elsewhere.
+        """
+        own = owner[self.seg[self.array]]
+        # neighbours in the array of one owner are passed over; those of a shared segment never are
+        cut = np.concatenate([[True], (own[1:] != own[:-1]) | (own[1:] < 0)])
+        first = np.flatnonzero(cut)
+        run = np.cumsum(cut) - 1
+        before, after = first[run] - 1, np.append(first[1:], self.n)[run]
+        beside = self.common(self.array[1:], self.array[:-1])
+        best = np.zeros(self.n, np.int64)
+        for other, ahead in ((before, 0), (after, 1)):
+            ok = np.flatnonzero((other >= 0) & (other < self.n))
+            next_ = np.abs(other[ok] - ok) == 1
+            one, far = ok[next_], ok[~next_]
+            at = self.array[one]
+            best[at] = np.maximum(best[at], beside[one - 1 + ahead])
+            at = self.array[far]
+            best[at] = np.maximum(best[at], self.common(at, self.array[other[far]]))
+        left = self.end[self.seg] - np.arange(self.n)
+        return np.where(owner[self.seg] < 0, left, np.minimum(best, left))
+
+    def factors(self, longest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, next to) of the factors of all segments' greedy parses; of the last one next is its own end.
+
+        All segments are parsed side by side, one factor each in a step.
+        """
+        at, segs = self.start.copy(), np.arange(len(self.start))
+        out = []
+        while len(at):
+            open_ = at < self.end[segs]
+            at, segs = at[open_], segs[open_]
+            to = at + np.maximum(1, longest[at])
+            out.append((segs, at, to))
+            at = to
+        segs, f, e = (np.concatenate(c) for c in zip(*out)) if out else [np.zeros(0, np.int64)] * 3
+        order = np.argsort(f)
+        segs, f, e = segs[order], f[order], e[order]
+        nxt = np.append(e[1:], e[-1:])
+        last = np.append(segs[1:] != segs[:-1], True) if len(segs) else np.zeros(0, bool)
+        return f, e, np.where(last, e, nxt)
+
+
+def _set_hashes(sets: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
+    """Two 64-bit hashes per set of its documents (set and doc: distinct couples)."""
+    out = np.zeros((2, n), np.uint64)
+    for k in (0, 1):
+        np.add.at(out[k], sets, _mixed(docs.astype(np.int64).view(np.uint64) * _BASES[k] + np.uint64(k + 1)))
+    return out.view(np.int64)
+
+
+def block_spans(table: pa.Table, span: int) -> pa.Table:
+    """What the texts of one reference block share: (doc, start, end) of spans, and (doc, h1, h2) of sets.
+
+    A set holds texts that all have one window of ``span`` characters in common; of windows that stand in the same
+    texts one is enough.  Sets of the same texts have the same hashes in every block.
+    """
+    number: dict = {}
+    seg = np.array([number.setdefault(s, len(number)) for s in table.column("around").to_pylist()], np.int64)
+    docs = table.column("doc").to_numpy()
+    begin = table.column("pos").to_numpy() - table.column("left").to_numpy()
+    low, high = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), np.iinfo(np.int64).min)
+    np.minimum.at(low, seg, docs)
+    np.maximum.at(high, seg, docs)
+    owner = np.where(low == high, np.unique(low, return_inverse=True)[1], -1)
+    index = Index([_codes(s) for s in number])
+    f, e, nxt = index.factors(index.longest(owner))
+    # windows that begin in a factor and end no later than the next one does
+    many = np.maximum(0, np.minimum(e - 1, nxt - span) - f + 1)
+    p = np.repeat(f, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    level = max((k for k, w in enumerate(index.widths) if w <= span), default=0)
+    r = index.ranks[level]
+    cls = np.unique(r[p] * np.int64(index.n + 1) + r[p + span - index.widths[level]], return_inverse=True)[1] if len(p) else p
+    n_cls = int(cls.max()) + 1 if len(p) else 0
+    own = owner[index.seg[p]]
+    lo, hi = np.full(n_cls, np.iinfo(np.int64).max), np.full(n_cls, -2)
+    np.minimum.at(lo, cls, own)
+    np.maximum.at(hi, cls, own)
+    shared = ((lo != hi) | (lo < 0))[cls]
+    p, cls = p[shared], cls[shared]
+    s = index.seg[p]
+    # a segment is shorter than two spans, so its shared windows all overlap
+    first, last = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), -1)
+    np.minimum.at(first, s, p - index.start[s])
+    np.maximum.at(last, s, p - index.start[s])
+    has = last[seg] >= 0
+    spans = {"doc": docs[has], "start": (begin[has] + first[seg[has]]).astype(np.int32), "end": (begin[has] + last[seg[has]] + span).astype(np.int32)}
+    # windows in the same segments are one set
+    couple = np.divmod(np.unique(cls * len(number) + s), max(1, len(number)))
+    names, at = np.unique(couple[0], return_inverse=True)
+    by_seg = _set_hashes(at, couple[1], len(names))
+    order = np.lexsort(by_seg)
+    one = order[np.append(True, (np.diff(by_seg[:, order]) != 0).any(0))] if len(names) else order
+    chosen = np.zeros(len(names), bool)
+    chosen[one] = True
+    keep = chosen[at]
+    sets, segs = at[keep], couple[1][keep]
+    # segments to the texts that have them
+    order = np.argsort(seg, kind="stable")
+    size = np.bincount(seg, minlength=len(number))
+    offset = np.cumsum(size) - size
+    times = size[segs]
+    member = order[np.repeat(offset[segs], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    ids, nth = np.unique(docs, return_inverse=True)
+    pair = np.divmod(np.unique(np.repeat(sets, times) * len(ids) + nth[member]), max(1, len(ids)))
+    pair = (pair[0], ids[pair[1]])
+    hashes = _set_hashes(pair[0], pair[1], len(names))
+    none = lambda n, t: pa.nulls(n, t)
+    n_s, n_p = len(spans["doc"]), len(pair[0])
+    cols = [
+        pa.concat_arrays([pa.array(spans["doc"]), pa.array(pair[1])]),
+        pa.concat_arrays([pa.array(spans["start"]), none(n_p, pa.int32())]),
+        pa.concat_arrays([pa.array(spans["end"]), none(n_p, pa.int32())]),
+        pa.concat_arrays([none(n_s, pa.int64()), pa.array(hashes[0][pair[0]])]),
+        pa.concat_arrays([none(n_s, pa.int64()), pa.array(hashes[1][pair[0]])]),
+    ]
+    return pa.table(cols, names=[f.name for f in _FOUND.fields])
 
 
 def _window_keys(table: pa.Table, span: int) -> pa.Table:
@@ -179,7 +310,7 @@ def _self_pairs(members: DataFrame, key: str, item: str, keep: list[str]) -> Dat
 
 
 class Shared:
-    """What texts share: ``members`` (doc, rep, n), and ``factors`` (a, b, a0, b0, len) of representatives.
+    """What texts share: ``members`` (doc, rep, n), and of representatives ``spans`` (doc, start, end) and ``sets`` (h1, h2, doc).
 
     Equal texts are one class, represented by its smallest id, so copies cost nothing and
     form no hot group.  NULL texts are left out.
@@ -208,7 +339,8 @@ class Shared:
 
         found = written(texts.mapInArrow(find, _ANCHORS), "anchors")
         twice = found.groupBy("hash").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("m")).filter("lo != hi")
-        kept = found.join(twice.select("hash", (F.col("m") > hot).alias("hot")), "hash").groupBy("doc").agg(F.collect_list(F.struct("pos", "hash", "hot")).alias("at"))
+        # written, so that the optimizer knows whether it is small enough for the texts to stay where they are
+        kept = written(found.join(twice.select("hash", (F.col("m") > hot).alias("hot")), "hash").groupBy("doc").agg(F.collect_list(F.struct("pos", "hash", "hot")).alias("at")), "kept")
         side = span - k
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,45 +360,49 @@ class Shared:
         around = written(texts.join(kept, "doc").mapInArrow(cut, _AROUND), "around")
         blocks = max(1, -(-around.filter("not hot").count() // BLOCK))
 
-        def factor(table: pa.Table) -> pa.Table:
-            return factors(table, span, k)
+        def share(table: pa.Table) -> pa.Table:
+            return block_spans(table, span)
 
-        cold = around.filter("not hot").withColumn("block", F.pmod("hash", F.lit(blocks))).groupBy("block").applyInArrow(factor, _FACTORS)
+        cold = around.filter("not hot").withColumn("block", F.pmod("hash", F.lit(blocks))).groupBy("block").applyInArrow(share, _FOUND)
         hot_rows = around.filter("hot")
-        self.factors = written(cold if hot_rows.isEmpty() else cold.unionByName(self._hot(hot_rows)), "factors")
+        found = written(cold if hot_rows.isEmpty() else cold.unionByName(self._hot(hot_rows)), "found")
+        self.spans = found.filter("h1 is null").select("doc", "start", "end")
+        self.sets = found.filter("h1 is not null").select("h1", "h2", "doc").distinct()
 
     def _hot(self, rows: DataFrame) -> DataFrame:
-        """Factors at anchors with many occurrences, by windows that are equal as a whole.
+        """The same at anchors with too many occurrences for a block, by windows that are equal as a whole.
 
         Occurrences with equal surroundings are one class.  A class has one row per window
-        of ``span`` characters, at most ``span - k + 1``, whatever the number of texts.
+        of ``span`` characters, at most ``span - k + 1``, whatever the number of texts; windows meet by a hash of 128
+        bits, and no two occurrences are compared.
         """
         span = self.span
-        rows = rows.withColumn("cls", F.xxhash64("around", "left", "hash"))
-        classes = rows.groupBy("cls").agg(F.min("around").alias("around"), F.min("left").alias("left"))
-        classes = written(classes, "classes")
+        rows = rows.withColumn("cls", F.xxhash64("around", "hash"))
+        classes = written(rows.groupBy("cls").agg(F.min("around").alias("around"), F.min("doc").alias("lo"), F.max("doc").alias("hi")), "classes")
 
         def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield from _window_keys(pa.Table.from_batches([b]), span).to_batches()
 
-        windows = classes.select("cls", "around").mapInArrow(keys, _KEYS).withColumn("key", F.struct("k1", "k2"))
-        between = _self_pairs(windows.select("key", "cls", "shift"), "key", "cls", ["shift"]).groupBy("a", "b", (F.col("a_shift") - F.col("b_shift")).alias("d")).agg(F.min("a_shift").alias("a0"), F.max("a_shift").alias("a1"))
-        # within a class all windows are shared: its first and last one cover the surroundings
-        own = classes.filter(F.length("around") >= span).select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(0).alias("d"), F.lit(0).alias("a0"), (F.length("around") - span).alias("a1"))
-        member = rows.select("cls", "doc", (F.col("pos") - F.col("left")).alias("from")).distinct()
-        parts = member.groupBy("cls").agg(F.ceil(F.count("*") / PART).alias("parts"))
-        left = member.join(parts, "cls").withColumn("part", F.pmod(F.xxhash64("doc"), "parts")).select(F.col("cls").alias("a"), F.col("doc").alias("da"), F.col("from").alias("fa"), "part")
-        pairs = between.unionByName(own).join(parts.select(F.col("cls").alias("a"), "parts"), "a").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        right = member.select(F.col("cls").alias("b"), F.col("doc").alias("db"), F.col("from").alias("fb"))
-        full = pairs.join(left, ["a", "part"]).join(right, "b").filter("(a != b and da != db) or (a = b and da < db)")
-        low = F.col("da") < F.col("db")
-        xa, xb = F.col("fa") + F.col("a0"), F.col("fb") + F.col("a0") - F.col("d")
-        return full.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"), F.when(low, xa).otherwise(xb).cast("int").alias("a0"), F.when(low, xb).otherwise(xa).cast("int").alias("b0"), (F.col("a1") - F.col("a0") + span).cast("int").alias("len"))
+        windows = written(classes.select("cls", "around").mapInArrow(keys, _KEYS), "windows")
+        each = windows.select("k1", "k2", "cls").distinct().join(classes.select("cls", "lo", "hi"), "cls")
+        total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
+        shared = each.groupBy("k1", "k2").agg(F.count("*").alias("count"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), total("cls").alias("s1"), total("cls", F.lit(1)).alias("s2")).filter("lo != hi")
+        shared = written(shared.select("k1", "k2", "count", "s1", "s2"), "sharedkeys")
+        large = shared.filter(F.col("count") > skew.HOT).select("k1", "k2", "count")
+        large = None if large.isEmpty() else large
+        member = rows.select("cls", "doc", (F.col("pos") - F.col("left")).alias("begin")).distinct()
+        at = skew.join_hot(windows, shared.select("k1", "k2"), ["k1", "k2"], large, "cls", "inner").groupBy("cls").agg(F.min("shift").alias("first"), F.max("shift").alias("last"))
+        spans = member.join(at, "cls").select("doc", (F.col("begin") + F.col("first")).alias("start"), (F.col("begin") + F.col("last") + span).alias("end"))
+        # of windows that stand in the same classes one is enough
+        one = shared.groupBy("count", "s1", "s2").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
+        sets = skew.join_hot(windows.select("k1", "k2", "cls").distinct(), one, ["k1", "k2"], large, "cls", "inner").join(member.select("cls", "doc").distinct(), "cls")
+        none = lambda t, *names: [F.lit(None).cast(t).alias(n) for n in names]
+        return spans.select("doc", F.col("start").cast("int"), F.col("end").cast("int"), *none("long", "h1", "h2")).unionByName(sets.select("doc", *none("int", "start", "end"), F.col("k1").alias("h1"), F.col("k2").alias("h2")))
 
     def pairs(self) -> DataFrame:
         """(doc_a, doc_b): every two texts with a stretch of ``span`` characters in common, once."""
-        reps = self.factors.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        reps = _self_pairs(self.sets.select(F.struct("h1", "h2").alias("set"), "doc"), "set", "doc", []).select("a", "b").distinct()
         m = self.members.select("doc", "rep")
         across = reps.join(m.select(F.col("rep").alias("a"), F.col("doc").alias("x")), "a").join(m.select(F.col("rep").alias("b"), F.col("doc").alias("y")), "b")
         copies = _self_pairs(m.join(m.filter("doc != rep").select("rep").distinct(), "rep", "left_semi"), "rep", "doc", [])
@@ -274,9 +410,7 @@ class Shared:
 
     def stretches(self) -> DataFrame:
         """(doc, start, end): the stretches of each text that stand elsewhere too, merged where they meet."""
-        f = self.factors
-        parts = f.select(F.col("a").alias("rep"), F.col("a0").alias("s"), F.col("len")).unionByName(f.select(F.col("b").alias("rep"), F.col("b0").alias("s"), F.col("len")))
-        parts = parts.select("rep", "s", (F.col("s") + F.col("len")).alias("e"))
+        parts = self.spans.select(F.col("doc").alias("rep"), F.col("start").alias("s"), F.col("end").alias("e"))
         copied = self.members.groupBy("rep").agg(F.count("*").alias("m"), F.min("n").alias("e")).filter("m > 1").select("rep", F.lit(0).alias("s"), F.col("e"))
         each = parts.unionByName(copied).groupBy("rep", "s").agg(F.max("e").alias("e"))
         w = W.partitionBy("rep").orderBy("s")
@@ -284,51 +418,17 @@ class Shared:
         merged = marked.withColumn("g", F.sum("new").over(w)).groupBy("rep", "g").agg(F.min("s").alias("start"), F.max("e").alias("end"))
         return self.members.join(merged, "rep").select("doc", "start", "end")
 
+    def linked(self) -> DataFrame:
+        """(doc, rep, links): every text, the one it is a copy of, and the number of texts it shares a stretch with.
 
-    def maximal(self) -> DataFrame:
-        """(a, b, a0, b0, len): the factors between representatives, joined where those of one alignment meet."""
-        w = W.partitionBy("a", "b", "d").orderBy("s")
-        f = self.factors.select("a", "b", (F.col("a0") - F.col("b0")).alias("d"), F.col("a0").alias("s"), (F.col("a0") + F.col("len")).alias("e")).groupBy("a", "b", "d", "s").agg(F.max("e").alias("e"))
-        new = (F.col("s") > F.coalesce(F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))).cast("int")
-        one = f.withColumn("new", new).withColumn("g", F.sum("new").over(w)).groupBy("a", "b", "d", "g").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-        return one.select("a", "b", F.col("s").alias("a0"), (F.col("s") - F.col("d")).alias("b0"), (F.col("e") - F.col("s")).alias("len"))
-
-    def parse(self) -> DataFrame:
-        """(doc, start, end, other): the greedy parse of each text relative to the others.
-
-        From left to right, the factor that reaches farthest is taken, then the one that
-        reaches farthest from its end, which may have begun before that boundary; where no
-        factor goes on, the parse skips to the next one.  ``other`` is a text that has the
-        factor; of an exact copy the whole text is one factor.
+        The compact form of :meth:`pairs`: links are counted among representatives and weighed by
+        their copies, which are not expanded.
         """
-        f = self.maximal()
-        ends = f.select(F.col("a").alias("rep"), F.col("a0").alias("s"), F.col("len"), F.col("b").alias("other")).unionByName(f.select(F.col("b").alias("rep"), F.col("b0").alias("s"), F.col("len"), F.col("a").alias("other")))
-        # of the factors that begin at one place only the longest can be taken, so a task holds at most one per character
-        best = ends.groupBy("rep", "s").agg(F.max(F.struct((F.col("s") + F.col("len")).alias("e"), (-F.col("other")).alias("neg"))).alias("m")).select("rep", "s", F.col("m.e").alias("e"), (-F.col("m.neg")).alias("other"))
-
-        def greedy(table: pa.Table) -> pa.Table:
-            t = table.sort_by("s")
-            rep = t.column("rep")[0].as_py()
-            out: list[tuple] = []
-            at, reach, source = -1, -1, -1
-            for s, e, o in zip(t.column("s").to_pylist(), t.column("e").to_pylist(), t.column("other").to_pylist()):
-                while s > at and reach > at >= 0:
-                    out.append((rep, at, reach, source))
-                    at = reach
-                if at < 0 or s > at:
-                    at = s
-                if e > reach:
-                    reach, source = e, o
-            while reach > at >= 0:
-                out.append((rep, at, reach, source))
-                at = reach
-            return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate((("rep", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("other", pa.int64())))})
-
-        parsed = best.groupBy("rep").applyInArrow(greedy, "rep long, start int, end int, other long")
-        classes = self.members.groupBy("rep").agg(F.count("*").alias("m"), F.min(F.when(F.col("doc") != F.col("rep"), F.col("doc"))).alias("second"))
-        single = self.members.join(classes.filter("m = 1").select("rep"), "rep", "left_semi").join(parsed, "rep").select("doc", "start", "end", "other")
-        copies = self.members.join(classes.filter("m > 1"), "rep").select("doc", F.lit(0).alias("start"), F.col("n").alias("end"), F.when(F.col("doc") == F.col("rep"), F.col("second")).otherwise(F.col("rep")).alias("other"))
-        return single.unionByName(copies)
+        size = self.members.groupBy("rep").agg(F.count("*").alias("m"))
+        reps = _self_pairs(self.sets.select(F.struct("h1", "h2").alias("set"), "doc"), "set", "doc", []).select("a", "b").distinct()
+        both = reps.select(F.col("a").alias("x"), F.col("b").alias("rep")).unionByName(reps.select(F.col("b").alias("x"), F.col("a").alias("rep")))
+        other = both.join(size, "rep").groupBy(F.col("x").alias("rep")).agg(F.sum("m").alias("others"))
+        return self.members.join(size, "rep").join(other, "rep", "left").select("doc", "rep", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,9 +441,9 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Shared(load(spark, sf_dir, "documents")).stretches().select(F.col("doc").alias("doc_id"), "start", "end")
 
 
-def p8_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The greedy parse of each text relative to the others, in factors of at least 200 characters."""
-    return Shared(load(spark, sf_dir, "documents")).parse().select(F.col("doc").alias("doc_id"), "start", "end", "other")
+def p8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of at least 200 characters, the text it copies, and the number of texts it shares a stretch with."""
+    return Shared(load(spark, sf_dir, "documents")).linked().select(F.col("doc").alias("doc_id"), F.col("rep").alias("copy_of"), F.col("links").alias("n_links"))
 
 
 def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,5 +456,5 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("doc_id", "n_chars", F.coalesce("n_spans", F.lit(0)).alias("n_spans"), shared.alias("shared_chars"), F.when(F.col("n_chars") > 0, shared / F.col("n_chars")).otherwise(F.lit(0.0)).alias("share"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_spans": p8_spans, "p8_factors": p8_factors, "p8_shared": p8_shared}
+QUERIES = {"p8_found": p8_found, "p8_spans": p8_spans, "p8_links": p8_links, "p8_shared": p8_shared}
 SQL: dict[str, str] = {}
