@@ -34,8 +34,20 @@ def p5_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(_plan(spark, sf_dir), "plan").groupBy("bin").agg(F.count("*").alias("files"), F.sum("size").alias("n_bytes"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_plan": p5_plan, "p5_bins": p5_bins}
+def p5_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of the plan: chips and bytes, chips planned twice (0), and files above the target of more than one chip (0)."""
+    plan = written(_plan(spark, sf_dir), "plan")
+    per = plan.groupBy("bin").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    over = per.agg(F.count_if((F.col("bytes") > TARGET) & (F.col("n") > 1)).alias("n_over"))
+    return plan.agg(F.count("*").alias("n_chips"), F.sum("size").alias("n_bytes"), (F.count("*") - F.count_distinct("id")).alias("n_twice")).join(over)
+
+
+QUERIES = {"p5_found": p5_found, "p5_plan": p5_plan, "p5_bins": p5_bins, "p5_total": p5_total}
+_CHIPS = f"""c AS (SELECT file_id, n_bytes, written_at, {oracle.path_sql("path")} AS p FROM chip_file),
+      r AS (SELECT file_id, n_bytes, p, row_number() OVER (PARTITION BY p ORDER BY n_bytes DESC, written_at ASC NULLS LAST, file_id) AS k FROM c WHERE n_bytes > 0 AND p LIKE '%.npy'),
+      m AS (SELECT DISTINCT {oracle.path_sql("path")} AS p FROM manifest)"""
 SQL = {
+    "p5_total": f"WITH {_CHIPS} SELECT count(*) AS n_chips, sum(n_bytes)::BIGINT AS n_bytes, cast(0 AS BIGINT) AS n_twice, cast(0 AS BIGINT) AS n_over FROM r WHERE k = 1 AND p IN (SELECT p FROM m WHERE p IS NOT NULL)",
     "p5_found": f"""WITH c AS (SELECT file_id, n_bytes, written_at, {oracle.path_sql("path")} AS p FROM chip_file),
       r AS (SELECT file_id, row_number() OVER (PARTITION BY p ORDER BY n_bytes DESC, written_at ASC NULLS LAST, file_id) AS k FROM c WHERE n_bytes > 0 AND p LIKE '%.npy')
       SELECT file_id FROM chip_file WHERE file_id NOT IN (SELECT file_id FROM r WHERE k = 1)""",

@@ -100,19 +100,22 @@ _V = f"""{_P}, t AS (SELECT label_id, unnest(string_split_regex(trim(coordinates
 _CASE = " ".join(f"WHEN feature_type = '{k}' THEN {v}" for k, v in LABELS.items())
 
 
-def _inverse() -> str:
+def _inverse(source: str, x: str, y: str, keep: str) -> str:
+    """CTEs that end in ``geo``: ``keep``, lon and lat of x and y of a source."""
     beta = lambda f, g: " - ".join(["", *(f"{b!r} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, b in enumerate(BETA, 1))])
     delta = " + ".join(f"{d!r} * sin({2 * j} * chi)" for j, d in enumerate(DELTA, 1))
-    return f"""WITH a AS (SELECT seg_id, y1 / {RADIUS!r} AS xi, (x1 - {FALSE_EAST!r}) / {RADIUS!r} AS eta FROM mask_segment),
-      b AS (SELECT seg_id, xi{beta("sin", "cosh")} AS xi, eta{beta("cos", "sinh")} AS eta FROM a),
-      c AS (SELECT seg_id, asin(sin(xi) / cosh(eta)) AS chi, atan2(sinh(eta), cos(xi)) AS d FROM b)
-      SELECT seg_id, round({CENTRAL!r} + degrees(d), 8) AS lon, round(degrees(chi + {delta}), 8) AS lat FROM c"""
+    return f"""a AS (SELECT {keep}, {y} / {RADIUS!r} AS xi, ({x} - {FALSE_EAST!r}) / {RADIUS!r} AS eta FROM {source}),
+      b AS (SELECT {keep}, xi{beta("sin", "cosh")} AS xi, eta{beta("cos", "sinh")} AS eta FROM a),
+      c AS (SELECT {keep}, asin(sin(xi) / cosh(eta)) AS chi, atan2(sinh(eta), cos(xi)) AS d FROM b),
+      geo AS (SELECT {keep}, {CENTRAL!r} + degrees(d) AS lon, degrees(chi + {delta}) AS lat FROM c)"""
 
 
 QUERIES = {f.__name__: f for f in (fn_to_3067, fn_to_4326, src_kml_xml, fn_feature_type, fn_coord_parse, agg_centroid, src_kml_labels, fn_label_map, agg_by_type, fn_tier, fn_placemark, fn_ring, agg_area)}
 SQL = {
     "fn_to_3067": f"WITH pts AS ({PTS_SQL}), {grid_sql('pts', 'lon', 'lat', 'c_custkey')} SELECT c_custkey, round(e, 4) AS e, round(n, 4) AS n FROM grid",
-    "fn_to_4326": _inverse(),
+    "fn_to_4326": f"WITH {_inverse('mask_segment', 'x1', 'y1', 'seg_id')} SELECT seg_id, round(lon, 8) AS lon, round(lat, 8) AS lat FROM geo",
+    "fn_ring": f"""WITH v AS (SELECT roi_idx, unnest(geom) AS p, unnest(range(len(geom))) AS i FROM roi), {_inverse('v', 'p.x', 'p.y', 'roi_idx, i')},
+      t AS (SELECT roi_idx, string_agg(format('{{:.6f}},{{:.6f}},0', lon, lat), ' ' ORDER BY i) AS coordinates FROM geo GROUP BY 1) SELECT roi_idx, coordinates FROM roi LEFT JOIN t USING (roi_idx)""",
     "src_kml_xml": f"WITH {_P} SELECT label_id, name, coordinates FROM p",
     "fn_feature_type": f"WITH {_P} SELECT label_id, {_TYPE} AS feature_type FROM p",
     "fn_coord_parse": f"WITH {_V} SELECT label_id, vertex, lon, lat FROM v",

@@ -91,7 +91,7 @@ def _w(size: int, stride: int) -> str:
 
 
 def _semi(of: str, where: str = "", seg: str = "s") -> str:
-    d = O.distance2_sql(("w.xmin", "w.ymin", "w.xmax", "w.ymax"), ("s.x1", "s.y1", "s.x2", "s.y2"))
+    d = oracle.box_segment_sql()
     near = "greatest(s.x1, s.x2) >= w.xmin - 50 AND least(s.x1, s.x2) <= w.xmax + 50 AND greatest(s.y1, s.y2) >= w.ymin - 50 AND least(s.y1, s.y2) <= w.ymax + 50"
     return f"SELECT DISTINCT w.path, w.row_off, w.col_off FROM {of} w JOIN {seg} s ON {near} WHERE {d} <= 2500 {where}"
 
@@ -118,6 +118,6 @@ SQL = {
       p AS (SELECT attempt, bx0 + dx / cast(4294967296 AS double) * (bx1 - bx0) AS x, by0 + dy / cast(4294967296 AS double) * (by1 - by0) AS y FROM d, b),
       i AS (SELECT attempt, x, y, x AS xmin, y AS ymin, x AS xmax, y AS ymax FROM p WHERE EXISTS (SELECT 1 FROM r WHERE x >= x0 AND x < x0 + width * res AND y >= y0 - height * res AND y < y0)),
       k AS (SELECT DISTINCT w.attempt, w.x, w.y FROM i w JOIN s ON greatest(s.x1, s.x2) >= w.x - 50 AND least(s.x1, s.x2) <= w.x + 50 AND greatest(s.y1, s.y2) >= w.y - 50 AND least(s.y1, s.y2) <= w.y + 50
-        WHERE {O.distance2_sql(("w.xmin", "w.ymin", "w.xmax", "w.ymax"), ("s.x1", "s.y1", "s.x2", "s.y2"))} <= 2500)
+        WHERE {oracle.box_segment_sql()} <= 2500)
       SELECT cast(row_number() OVER (ORDER BY attempt) - 1 AS INTEGER) AS seq, round(x, 4) AS x, round(y, 4) AS y FROM k ORDER BY attempt LIMIT 20""",
 }

@@ -47,3 +47,27 @@ near AS (SELECT a.row_idx AS row_a, b.row_idx AS row_b FROM
   (SELECT *, cx + dx AS kx, cy + dy AS ky FROM cells, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)) a
   JOIN cells b ON a.kx = b.cx AND a.ky = b.cy AND a.row_idx < b.row_idx
   WHERE (a.e - b.e) * (a.e - b.e) + (a.n - b.n) * (a.n - b.n) <= {radius * radius})"""
+
+
+def box_segment_sql(box: str = "w", seg: str = "s") -> str:
+    """Squared distance of a box (xmin, ymin, xmax, ymax) and a segment (x1, y1, x2, y2).
+
+    0 where the part of the segment between both pairs of sides is not empty; else the least
+    of the distances of the segment's ends to the box and of the box's corners to the segment.
+    """
+    low, high = ["0.0"], ["1.0"]
+    for v in "xy":
+        a, d = f"{seg}.{v}1", f"({seg}.{v}2 - {seg}.{v}1)"
+        lo, hi = f"{box}.{v}min", f"{box}.{v}max"
+        low.append(f"CASE WHEN {d} = 0 THEN CASE WHEN {a} BETWEEN {lo} AND {hi} THEN 0.0 ELSE 2.0 END ELSE least(({lo} - {a}) / nullif({d}, 0), ({hi} - {a}) / nullif({d}, 0)) END")
+        high.append(f"CASE WHEN {d} = 0 THEN 1.0 ELSE greatest(({lo} - {a}) / nullif({d}, 0), ({hi} - {a}) / nullif({d}, 0)) END")
+    parts = []
+    for k in "12":
+        parts.append(" + ".join(f"pow(greatest(0.0, {box}.{v}min - {seg}.{v}{k}, {seg}.{v}{k} - {box}.{v}max), 2)" for v in "xy"))
+    dx, dy = (f"({seg}.{v}2 - {seg}.{v}1)" for v in "xy")
+    for px in ("xmin", "xmax"):
+        for py in ("ymin", "ymax"):
+            x, y = f"{box}.{px}", f"{box}.{py}"
+            t = f"greatest(0.0, least(1.0, coalesce((({x} - {seg}.x1) * {dx} + ({y} - {seg}.y1) * {dy}) / nullif({dx} * {dx} + {dy} * {dy}, 0), 0.0)))"
+            parts.append(f"pow({seg}.x1 + {t} * {dx} - {x}, 2) + pow({seg}.y1 + {t} * {dy} - {y}, 2)")
+    return f"CASE WHEN greatest({', '.join(low)}) <= least({', '.join(high)}) THEN 0.0 ELSE least({', '.join(parts)}) END"
