@@ -120,5 +120,23 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(spec, "spec_id").select("spec_id", "capacity_tokens", "containers", "n_tokens", "most_pieces", (F.col("n_tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))
 
 
-QUERIES = {"p6_pack": p6_pack, "p6_fill": p6_fill}
-SQL: dict[str, str] = {}
+def p6_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every packing: each text is there once, in pieces without gaps, and no container is overfull.
+
+    n_texts packed per capacity, and the numbers of texts lost, of pieces missing or twice, and of containers
+    above their capacity, all 0 by construction.
+    """
+    packed = written(_packed(spark, sf_dir), "packing")
+    texts = load(spark, sf_dir, "documents").filter("text is not null").select("doc_id")
+    spec = load(spark, sf_dir, "pack_spec")
+    per = packed.groupBy("spec_id", "doc_id").agg(F.count("*").alias("n"), F.countDistinct("piece").alias("k"), F.max("piece").alias("last"))
+    texts_of = spec.select("spec_id").join(texts.withColumn("_all", F.lit(1)), F.lit(True)).join(per, ["spec_id", "doc_id"], "left")
+    whole = texts_of.groupBy("spec_id").agg(F.count("n").alias("n_texts"), F.count_if(F.col("n").isNull()).alias("n_lost"), F.count_if((F.col("n") != F.col("k")) | ((F.col("last") != F.col("k")) & (F.col("last") > 0))).alias("n_gaps"))
+    over = packed.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("t")).join(spec, "spec_id").groupBy("spec_id").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("n_over"))
+    return whole.join(over, "spec_id").select("spec_id", "n_texts", "n_lost", "n_gaps", "n_over")
+
+
+QUERIES = {"p6_pack": p6_pack, "p6_fill": p6_fill, "p6_limits": p6_limits}
+SQL = {
+    "p6_limits": "SELECT spec_id, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_texts, cast(0 AS BIGINT) AS n_lost, cast(0 AS BIGINT) AS n_gaps, cast(0 AS BIGINT) AS n_over FROM pack_spec",
+}

@@ -457,4 +457,22 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_spans": p8_spans, "p8_links": p8_links, "p8_shared": p8_shared}
-SQL: dict[str, str] = {}
+
+# every window of 200 characters, by a hash of 128 bits
+_HITS = """pos AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200),
+  windows AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS k FROM pos),
+  common AS (SELECT k FROM windows GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+  hits AS (SELECT DISTINCT doc_id, i, k FROM windows JOIN common USING (k))"""
+_SPANS = f"""{_HITS}, steps AS (SELECT doc_id, i - 1 AS s, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT doc_id, i FROM hits)),
+  runs AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM steps),
+  spans AS (SELECT doc_id, cast(min(s) AS INTEGER) AS start, cast(max(s) + 200 AS INTEGER) AS "end" FROM runs GROUP BY doc_id, g)"""
+_PAIRS = f"{_HITS}, pairs AS (SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM hits a JOIN hits b ON a.k = b.k AND a.doc_id < b.doc_id)"
+SQL = {
+    "p8_found": f"WITH {_PAIRS} SELECT doc_a, doc_b FROM pairs",
+    "p8_spans": f'WITH {_SPANS} SELECT doc_id, start, "end" FROM spans',
+    "p8_links": f"""WITH {_PAIRS}, n AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_a AS doc_id FROM pairs UNION ALL SELECT doc_b FROM pairs) GROUP BY 1)
+      SELECT d.doc_id, min(d.doc_id) OVER (PARTITION BY d.text) AS copy_of, coalesce(n, 0)::BIGINT AS n_links FROM documents d LEFT JOIN n USING (doc_id) WHERE length(d.text) >= 200""",
+    "p8_shared": f"""WITH {_SPANS}, per AS (SELECT doc_id, count(*) AS n_spans, sum("end" - start)::BIGINT AS shared_chars FROM spans GROUP BY 1)
+      SELECT doc_id, length(coalesce(text, ''))::INTEGER AS n_chars, coalesce(n_spans, 0) AS n_spans, coalesce(shared_chars, 0)::BIGINT AS shared_chars,
+        CASE WHEN length(coalesce(text, '')) > 0 THEN coalesce(shared_chars, 0) / length(text) ELSE 0 END::DOUBLE AS share FROM documents LEFT JOIN per USING (doc_id)""",
+}
