@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from wetlens.functions.geo import position
 from wetlens.llm.matching import blank, manifest_meanings, with_meaning
 from wetlens.operators.graph import connected
-from wetlens.operators.near import positions
+from wetlens.operators.near import FAR
 from wetlens.operators.skew import HOT, join_hot
-from wetlens.session import create, file_system, load, read_text, shared_dir, written
+from wetlens.session import create, dropped, file_system, load, read_text, shared_dir, written
 
 RADIUS = 40.0
 #: A component above one in LARGE of all rows is assigned by itself, smaller ones by bucket.
@@ -29,7 +29,7 @@ QUARANTINE = "quarantine"
 #: Pairs of points up to which two cells are compared point by point at once; beyond, their cells are halved first.
 DIRECT = 1024
 #: Cells along a side of the squares by which cells meet.
-SQUARE = 12
+SQUARE = 24
 
 _CELL = ["kind", "cx", "cy"]
 _BOX = (("x0", F.min, "x"), ("y0", F.min, "y"), ("x1", F.max, "x"), ("y1", F.max, "y"))
@@ -56,22 +56,22 @@ def _gap2(far: bool = False):
 
 
 def _squares(nodes: DataFrame, low: tuple, high: tuple, radius: float) -> DataFrame:
-    """nodes with kx, ky: the squares that hold the corners x0, y0 from ``low`` to ``high``."""
+    """nodes with ``square``: a hash of kind and of each square that holds the corners x0, y0 from ``low`` to ``high``."""
     side = F.lit(SQUARE * _side(radius))
     at = lambda c: F.floor(c / side).cast("long")
     x, y = (F.explode(F.sequence(at(a), at(b))) for a, b in zip(low, high))
-    return nodes.withColumn("kx", x).withColumn("ky", y)
+    return nodes.withColumn("_kx", x).withColumn("_ky", y).withColumn("square", F.xxhash64("kind", "_kx", "_ky")).drop("_kx", "_ky")
 
 
 def _own_square(nodes: DataFrame, radius: float) -> DataFrame:
     side = F.lit(SQUARE * _side(radius))
-    return nodes.withColumn("kx", F.floor(F.col("x0") / side).cast("long")).withColumn("ky", F.floor(F.col("y0") / side).cast("long"))
+    return nodes.withColumn("square", F.xxhash64("kind", F.floor(F.col("x0") / side).cast("long"), F.floor(F.col("y0") / side).cast("long")))
 
 
 def _touched(nodes: DataFrame, radius: float) -> DataFrame:
-    """kind, kx, ky of the squares whose cells may lie within the radius of a node."""
+    """The squares whose cells may lie within the radius of a node."""
     back, c = F.lit(radius + _side(radius)), F.col
-    return _squares(nodes.select("kind", *(n for n, _, _ in _BOX)), (c("x0") - back, c("y0") - back), (c("x1") + radius, c("y1") + radius), radius).select("kind", "kx", "ky").distinct()
+    return _squares(nodes.select("kind", *(n for n, _, _ in _BOX)), (c("x0") - back, c("y0") - back), (c("x1") + radius, c("y1") + radius), radius).select("square").distinct()
 
 
 def _near_cells(new: DataFrame, old: DataFrame | None, radius: float) -> DataFrame:
@@ -81,19 +81,19 @@ def _near_cells(new: DataFrame, old: DataFrame | None, radius: float) -> DataFra
     old one.  A cell is joined with the square of its own corner and looks for others ahead of it, so
     each pair comes once.  A square has a bounded number of cells, so no key is hot, however many points a cell holds.
     """
-    box = [n for n, _, _ in _BOX]
-    all_ = new.select("kind", "v", "n", *box, F.lit(False).alias("o"))
+    # n is below 0 for old cells
+    box, c = [n for n, _, _ in _BOX], F.col
+    all_ = new.select("kind", "v", "n", *box)
     if old is not None:
-        all_ = all_.unionByName(old.select("kind", "v", "n", *box, F.lit(True).alias("o")))
-    c = F.col
+        all_ = all_.unionByName(old.select("kind", "v", (-c("n")).alias("n"), *box))
     ahead = _squares(all_, (c("x0"), c("y0") - F.lit(radius + _side(radius))), (c("x1") + radius, c("y1") + radius), radius)
-    first = (c("a.x0") < c("b.x0")) | ((c("a.x0") == c("b.x0")) & (F.struct("a.o", "a.v", "a.y0") < F.struct("b.o", "b.v", "b.y0")))
-    met = ahead.alias("a").join(_own_square(all_, radius).alias("b"), ["kind", "kx", "ky"]).filter(first & (_gap2() <= radius * radius) & ~(c("a.o") & c("b.o")))
-    turn = c("a.o")
-    side = lambda n: [F.when(turn, c(f"b.{n}")).otherwise(c(f"a.{n}")), F.when(turn, c(f"a.{n}")).otherwise(c(f"b.{n}"))]
-    ends = [e.alias(f"{t}_{n}") for n in ("n", "x0", "y0") for t, e in zip("ab", side(n))]
+    a_old, b_old = c("a.n") < 0, c("b.n") < 0
+    first = (c("a.x0") < c("b.x0")) | ((c("a.x0") == c("b.x0")) & (F.struct(a_old, c("a.v"), c("a.y0")) < F.struct(b_old, c("b.v"), c("b.y0"))))
+    met = ahead.alias("a").join(_own_square(all_, radius).alias("b"), "square").filter((c("a.kind") == c("b.kind")) & first & (_gap2() <= radius * radius) & ~(a_old & b_old))
+    side = lambda n: [F.when(a_old, c(f"b.{n}")).otherwise(c(f"a.{n}")), F.when(a_old, c(f"a.{n}")).otherwise(c(f"b.{n}"))]
+    ends = [(F.abs(e) if n == "n" else e).alias(f"{t}_{n}") for n in ("n", "x0", "y0") for t, e in zip("ab", side(n))]
     va, vb = side("v")
-    return met.select("kind", va.alias("va"), vb.alias("vb"), (_gap2(far=True) <= radius * radius).alias("sure"), (c("a.o") | c("b.o")).alias("b_old"), *ends)
+    return met.select(c("a.kind").alias("kind"), va.alias("va"), vb.alias("vb"), (_gap2(far=True) <= radius * radius).alias("sure"), (a_old | b_old).alias("b_old"), *ends)
 
 
 def _linked(unsure: DataFrame, new: DataFrame, old: DataFrame | None, radius: float) -> DataFrame:
@@ -240,11 +240,16 @@ class Table:
         nodes = written(points.groupBy(*_CELL).agg(F.min("id").alias("v"), F.count("*").alias("n"), *(f(c).alias(n) for n, f, c in _BOX)), "nodes")
         old, cells, changes = None, self._read(v, "cells"), self._changes(v)
         if cells is not None:
-            near = _own_square(cells, r).join(_touched(nodes, r), ["kind", "kx", "ky"], "left_semi").drop("kx", "ky")
+            # written, so that the optimizer knows whether it is small enough for the cells to stay where they are
+            touched = written(_touched(nodes, r), "touched")
+            near = _own_square(cells, r).join(touched, "square", "left_semi").drop("square")
             if changes is not None:
                 near = near.join(changes.select("component", "root"), "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
-            # the cells of one place in several batches belong to one component
-            old = written(near.groupBy(*_CELL).agg(F.min("component").alias("v"), F.sum("n").alias("n"), *(f(n).alias(n) for n, f, _ in _BOX)), "old")
+            near = near.withColumnRenamed("component", "v")
+            if len(v["batches"]) > 1:
+                # the cells of one place in several batches belong to one component
+                near = near.groupBy(*_CELL).agg(F.min("v").alias("v"), F.sum("n").alias("n"), *(f(n).alias(n) for n, f, _ in _BOX))
+            old = written(near.select("kind", "v", "n", *(n for n, _, _ in _BOX)), "old")
         pairs = written(_near_cells(nodes, old, r), "pairs")
         roots = connected(pairs.filter("sure").select(F.col("va").alias("u"), F.col("vb").alias("v")))
         unsure = pairs.filter("not sure")
@@ -262,8 +267,8 @@ class Table:
             one = _rooted(t, column, roots, spread)
             return one if late is None else _rooted(written(one, "rooted"), column, late, spread)
 
-        named = written(settled(nodes.withColumn("component", F.col("v")), "component", "v"), "named")
-        singles = new.join(points.select("id"), "id", "left_anti")
+        named = written(settled(nodes.select("v", "n", F.col("v").alias("component")), "component", "v"), "named")
+        singles = new.filter(~F.coalesce(_has_place(), F.lit(False)))
         sizes = named.groupBy("component").agg(F.sum("n").alias("n")).unionByName(singles.select(F.col("id").alias("component"), F.lit(1).cast("long").alias("n")))
         moved = None
         if old is not None:
@@ -272,9 +277,11 @@ class Table:
             was = facts.join(reached, "component", "left_semi").groupBy("component").agg(F.max("subset").alias("subset"))
             moved = written(settled(was.withColumn("root", F.col("component")).withColumnRenamed("root", "to"), "to", "component"), "moved")
             moved = written(moved.join(named.select(F.col("component").alias("to")).distinct(), "to", "left_semi").select("component", "to", "subset"), "moved")
-        return self._commit(v, new, points, named, singles, sizes, moved, changes, targets)
+        self._commit(v, new, points, nodes, named, singles, sizes, moved, changes, targets)
+        dropped(*(t for t in (new, nodes, old, pairs, unsure, named, moved) if t is not None))
+        return self
 
-    def _commit(self, v: dict, new: DataFrame, points: DataFrame, named: DataFrame, singles: DataFrame, sizes: DataFrame, moved: DataFrame | None, changes: DataFrame | None, targets: dict | None) -> "Table":
+    def _commit(self, v: dict, new: DataFrame, points: DataFrame, nodes: DataFrame, named: DataFrame, singles: DataFrame, sizes: DataFrame, moved: DataFrame | None, changes: DataFrame | None, targets: dict | None) -> None:
         batch, table = f"batch-{uuid.uuid4().hex}", self.location
         if moved is not None:
             one = moved.groupBy(F.col("to").alias("component")).agg(F.min("subset").alias("lo"), F.max("subset").alias("hi"), F.lit(True).alias("kept"))
@@ -305,7 +312,8 @@ class Table:
             sizes = written(sizes.drop("subset").join(filled.unionByName(sizes.filter("kept is not null").select("component", "subset")), "component"), "sizes")
         facts = sizes.select("component", "linked", "subset")
         hot = written(named.groupBy("component").count().filter(F.col("count") > HOT), "hot") if v.get("n", 0) + named.count() > HOT else None
-        cells = written(join_hot(named, facts, ["component"], hot, "v"), "celled")
+        labels = written(join_hot(named.select("v", "component"), facts, ["component"], hot, "v"), "labels")
+        cells = written(nodes.join(labels, "v"), "celled")
         crowded = cells.filter(F.col("n") > HOT).select(*_CELL, F.col("n").alias("count"))
         rows = join_hot(points, cells.select(*_CELL, "component", "linked", "subset"), _CELL, None if crowded.isEmpty() else crowded, "id", "inner").select(*_ROWS)
         rows = rows.unionByName(singles.join(facts, F.col("id") == F.col("component")).select(*_ROWS))
@@ -318,7 +326,7 @@ class Table:
             now.select("component", "root", "subset").write.parquet(f"{table}/{folder}")
         nxt = {"number": v["number"] + 1, "batches": [*v["batches"], batch], "changes": folder, "n": v.get("n", 0) + new.count()}
         create(self.spark, f"{table}/version-{nxt['number']:09d}.json", json.dumps(nxt))
-        return self
+        dropped(labels, cells, sizes)
 
 
 _ROWS = ("id", "x", "y", "kind", "component", "linked", "subset")
@@ -331,9 +339,13 @@ _SCHEMAS = {
 }
 
 
+def _has_place():
+    """Whether a row has an id, a kind and a position."""
+    return F.col("id").isNotNull() & F.col("kind").isNotNull() & F.col("x").between(-FAR, FAR) & F.col("y").between(-FAR, FAR)
+
+
 def _usable(rows: DataFrame) -> DataFrame:
-    """The rows with a kind and a position."""
-    return positions(rows.filter("kind is not null"), more=("kind",))
+    return rows.filter(_has_place())
 
 
 def manifest_points(manifest: DataFrame, reference: DataFrame, *more: str) -> DataFrame:
@@ -383,5 +395,16 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(load(spark, sf_dir, "split_target"), "subset", "left").select("subset", "n_rows", "n_groups", (F.col("n_rows") / F.lit(n)).alias("share"), "target_share")
 
 
-QUERIES = {"p2_found": p2_found, "p2_assign": p2_assign, "p2_shares": p2_shares}
-SQL: dict[str, str] = {}
+def p2_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of the assignment: rows, rows twice (0), rows without a subset of the targets or quarantine (0), groups in two subsets (0)."""
+    t = written(_assigned(spark, sf_dir), "assigned")
+    names = [r[0] for r in load(spark, sf_dir, "split_target").select("subset").collect()]
+    apart = t.groupBy("component").agg((F.min("subset") != F.max("subset")).alias("two")).agg(F.count_if("two").alias("n_apart"))
+    known = F.coalesce(F.col("subset").isin(*names, QUARANTINE), F.lit(False))
+    return t.agg(F.count("*").alias("n_rows"), (F.count("*") - F.count_distinct("id")).alias("n_twice"), F.count_if(~known).alias("n_without")).join(apart)
+
+
+QUERIES = {"p2_found": p2_found, "p2_assign": p2_assign, "p2_shares": p2_shares, "p2_limits": p2_limits}
+SQL = {
+    "p2_limits": "SELECT count(*) AS n_rows, cast(0 AS BIGINT) AS n_twice, cast(0 AS BIGINT) AS n_without, cast(0 AS BIGINT) AS n_apart FROM manifest",
+}
