@@ -50,6 +50,21 @@ def test_query(spark, duck, name):
     assert rows(df.columns, got) == rows(names, cur.fetchall())
 
 
+@pytest.mark.parametrize("name", ["agg_features36", "jn_patch_semi", "p4_found", "p4_tile", "p5_found", "roi_merge_windows"])
+def test_query_with_generated_code(spark, duck, name):
+    """The other tests run without whole-stage code generation."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode")}
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    spark.conf.set("spark.sql.codegen.factoryMode", "FALLBACK")
+    try:
+        df = CORE[name](spark, FOLDER)
+        cur = duck.execute(SQL[name])
+        assert rows(df.columns, df.collect()) == rows([c[0] for c in cur.description], cur.fetchall())
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["row_a", "row_b"]
 

@@ -29,10 +29,8 @@ def canonical(path: str | None, anchor: str = "data") -> str | None:
     if path is None:
         return None
     s = path.strip(_EDGE)
-    for _ in range(3):
-        t = unquote(s)
-        if t == s:
-            break
+    # every turn that changes anything shortens the path, so this ends
+    while len(t := unquote(s)) < len(s):
         s = t
     s = unicodedata.normalize("NFC", s.strip(_EDGE)).replace("\\", "/")
     s = unicodedata.normalize("NFC", s.casefold())

@@ -59,9 +59,9 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     return per.join(F.broadcast(all_)).select("label", "n_rows", (F.col("n") / (F.col("k") * F.col("n_rows"))).alias("weight"))
 
 
-def best_epoch(epochs: DataFrame) -> DataFrame:
-    """epoch, val_acc of the best accuracy; of equal ones the last."""
-    return epochs.agg(F.max(F.struct("val_acc", "epoch")).alias("b")).select("b.epoch", "b.val_acc")
+def best_epoch(epochs: DataFrame, *keys: str) -> DataFrame:
+    """keys, epoch, val_acc of the best accuracy; of equal ones the last."""
+    return epochs.groupBy(*keys).agg(F.max(F.struct("val_acc", "epoch")).alias("b")).select(*keys, "b.epoch", "b.val_acc")
 
 
 def cosine_rate(start: float, epoch: Column, epochs: int) -> Column:

@@ -112,6 +112,12 @@ def merge_windows(boxes: DataFrame, rasters: DataFrame, keys: list[str], min_are
     return area.filter(F.col("area_m2") >= min_area).join(conf, [*keys, "comp"], "left").select(*keys, "comp", "area_m2", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
+def ring_area(ring: Column) -> Column:
+    """The area inside a closed ring, array<struct<x, y>>; NULL for NULL."""
+    sides = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+    return F.abs(F.aggregate(sides, F.lit(0.0), lambda s, v: s + v)) / 2
+
+
 def outlines(r: np.ndarray, c: np.ndarray) -> list[list[tuple[int, int]]]:
     """The outer ring of each part of a set of unit cells, as closed (column, row) corners, holes left out.
 

@@ -127,8 +127,8 @@ def ord_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def win_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best epoch of each event type, user_id standing for the epoch."""
-    e = load(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    return e.groupBy("event_type").agg(F.max(F.struct("n", "user_id")).alias("b")).select("event_type", F.col("b.user_id").alias("epoch"), F.col("b.n").alias("val_acc"))
+    e = load(spark, sf_dir, "events").groupBy("event_type", F.col("user_id").alias("epoch")).agg(F.count("*").alias("val_acc"))
+    return E.best_epoch(e, "event_type")
 
 
 def mdl_rf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wetlens.constants import EXCLUDED_TYPES, LABELS
 from wetlens.functions import labels as L
 from wetlens.functions.geo import BETA, CENTRAL, DELTA, FALSE_EAST, RADIUS, to_grid, to_lonlat
+from wetlens.operators.regions import ring_area
 from wetlens.plans.oracle import grid_sql
 from wetlens.plans.proxies import PTS_SQL, pts
 from wetlens.session import load
@@ -84,8 +85,7 @@ def fn_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agg_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area of each region's ring beside the area given."""
-    pairs = F.zip_with(F.slice("geom", 1, F.size("geom") - 1), F.slice("geom", 2, F.size("geom") - 1), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    return load(spark, sf_dir, "roi").select("roi_idx", F.round(F.abs(F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v)) / 2, 3).alias("ring_m2"), "area_m2")
+    return load(spark, sf_dir, "roi").select("roi_idx", F.round(ring_area(F.col("geom")), 3).alias("ring_m2"), "area_m2")
 
 
 _NAME = "CASE WHEN placemark LIKE '%<name>%' THEN nullif(regexp_extract(placemark, '<name>([^<]*)</name>', 1), '') END"

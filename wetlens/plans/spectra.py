@@ -34,6 +34,14 @@ def agg_features36(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("chip", F.posexplode("features").alias("idx", "v")).select("chip", "idx", F.round("v", 6).alias("value"))
 
 
+def mdl_chip_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature vector of one 512-pixel chip per returnflag of lineitem, its centre cut by position; one row per entry."""
+    t = load(spark, sf_dir, "lineitem")
+    p = t.select(F.col("l_returnflag").alias("chip"), F.pmod(F.col("l_orderkey") * 7, F.lit(512)).alias("y"), F.pmod(F.col("l_partkey") * 13 + F.col("l_orderkey"), F.lit(512)).alias("x"), *(e.alias(b) for b, e in (("nir", F.col("l_partkey") % 256), ("red", F.col("l_orderkey") % 251), ("grn", (F.col("l_partkey") * 7 + F.col("l_orderkey") * 13) % 256))))
+    f = S.features(p.withColumn("is_center", S.center(F.col("y"), F.col("x"), F.lit(512), F.lit(512))), "chip")
+    return f.select("chip", F.posexplode("features").alias("idx", "v")).select("chip", "idx", F.round("v", 6).alias("value"))
+
+
 def agg_norm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = S.norm_stats(px(spark, sf_dir))
     return s.select(F.posexplode(F.arrays_zip("mean", "std")).alias("band", "v")).select("band", F.round("v.mean", 8).alias("mean"), F.round("v.std", 8).alias("std"))
@@ -58,7 +66,11 @@ def blk_context_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("tile", "pr", "pc", "n", *(F.round(c, 6).alias(c) for c in s.columns if c.endswith(("_mean", "_std"))))
 
 
-def _features_sql() -> str:
+_CHIP_SQL = """SELECT l_returnflag AS chip, l_partkey % 256 AS nir, l_orderkey % 251 AS red, (l_partkey * 7 + l_orderkey * 13) % 256 AS grn,
+  (l_orderkey * 7) % 512 BETWEEN 224 AND 287 AND (l_partkey * 13 + l_orderkey) % 512 BETWEEN 224 AND 287 AS is_center FROM lineitem"""
+
+
+def _features_sql(source: str = PX_SQL) -> str:
     parts = []
     i = 0
     for flt in ("FILTER (WHERE is_center)", ""):
@@ -70,7 +82,7 @@ def _features_sql() -> str:
                 parts.append(f"{a} {flt}")
     rows = " UNION ALL ".join(f"SELECT chip, cast({i} AS INTEGER) AS idx, round(f{i}, 6) AS value FROM f" for i in range(len(parts)))
     cols = ", ".join(f"cast({p} AS double) AS f{i}" for i, p in enumerate(parts))
-    return f"WITH px AS ({PX_SQL}), i AS (SELECT *, {_NDVI} AS ndvi, {_NDWI} AS ndwi FROM px), f AS (SELECT chip, {cols} FROM i GROUP BY chip) {rows}"
+    return f"WITH px AS ({source}), i AS (SELECT *, {_NDVI} AS ndvi, {_NDWI} AS ndwi FROM px), f AS (SELECT chip, {cols} FROM i GROUP BY chip) {rows}"
 
 
 _STATS = ", ".join(f"round(avg({b}), 6) AS {b}_mean, round(stddev_pop({b}), 6) AS {b}_std, round(quantile_cont({b}, 0.25), 6) AS {b}_p25, round(quantile_cont({b}, 0.75), 6) AS {b}_p75" for b in S.BANDS)
@@ -79,12 +91,13 @@ _NORM = " UNION ALL ".join(
 )
 _CTX = ", ".join(f"round(sum(b.{b}_s) / sum(b.n), 6) AS {b}_mean, round(sqrt(greatest(0, sum(b.{b}_q) / sum(b.n) - (sum(b.{b}_s) / sum(b.n)) * (sum(b.{b}_s) / sum(b.n)))), 6) AS {b}_std" for b in S.BANDS)
 
-QUERIES = {f.__name__: f for f in (prj_ndvi, prj_ndwi, agg_band_stats, agg_features36, agg_norm_stats, fn_band_adapter, agg_bands, blk_context_sums)}
+QUERIES = {f.__name__: f for f in (prj_ndvi, prj_ndwi, agg_band_stats, agg_features36, mdl_chip_features, agg_norm_stats, fn_band_adapter, agg_bands, blk_context_sums)}
 SQL = {
     "prj_ndvi": f"WITH px AS ({PX_SQL}) SELECT chip, nir, red, round({_NDVI}, 6) AS ndvi FROM px",
     "prj_ndwi": f"WITH px AS ({PX_SQL}) SELECT chip, nir, grn, round({_NDWI}, 6) AS ndwi FROM px",
     "agg_band_stats": f"WITH px AS ({PX_SQL}) SELECT chip, {_STATS} FROM px GROUP BY chip",
     "agg_features36": _features_sql(),
+    "mdl_chip_features": _features_sql(_CHIP_SQL),
     "agg_norm_stats": f"WITH px AS ({PX_SQL}) {_NORM}",
     "fn_band_adapter": f"WITH px AS ({PX_SQL}) " + " UNION ALL ".join(f"SELECT chip, cast({i} AS INTEGER) AS slot, cast(sum({b}) AS double) AS total FROM px GROUP BY chip" for i, b in enumerate(("0", "grn", "red", "nir", "0", "0"))),
     "agg_bands": f"WITH px AS ({PX_SQL}) SELECT chip, {', '.join(f'min({b}) AS {b}_min, max({b}) AS {b}_max, round(avg({b}), 6) AS {b}_mean' for b in S.BANDS)} FROM px GROUP BY chip",
