@@ -35,7 +35,7 @@ def test_overlap_cases(spark):
     for hot in (10_000, 1):
         got = [tuple(r) for r in overlap.overlap_pairs(d, hot=hot).collect()]
         assert len(got) == len(set(got)) and set(got) == want
-    report = {(r["subset"], r["source"]): (r["n_rows"], r["n_overlapping"], r["n_pairs"]) for r in overlap.overlap_report(d, overlap.overlap_pairs(d)).collect()}
+    report = {(r["subset"], r["source"]): (r["n_rows"], r["n_overlapping"], r["n_pairs"]) for r in overlap.overlap_report(d).collect()}
     assert report == {("val", "s"): (1, 1, 2), ("test", "t"): (2, 2, 3), ("val", None): (2, 1, 2)}
     assert overlap.overlap_pairs(d.limit(0)).count() == 0
 
@@ -49,8 +49,11 @@ def test_overlap_with_a_hot_file_and_place(spark):
         x, y = (300000.0 + rng.integers(3), 6700000.0) if i % 3 == 1 else (200000.0 + rng.uniform(0, 300), 6700000.0 + rng.uniform(0, 300))
         rows.append((i, p, None, float(x), float(y), ["train", "train", "val", "test"][rng.integers(4)], "s"))
     want = {(a[0], b[0]) for a in rows if a[5] == "train" for b in rows if b[5] != "train" and (a[1] == b[1] or (a[3] - b[3]) ** 2 + (a[4] - b[4]) ** 2 <= 4)}
-    got = [tuple(r) for r in overlap.overlap_pairs(manifest(spark, rows), hot=10).collect()]
+    d = manifest(spark, rows)
+    got = [tuple(r) for r in overlap.overlap_pairs(d, hot=10).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    report = overlap.overlap_report(d).collect()
+    assert sum(r["n_pairs"] for r in report) == len(want) and sum(r["n_overlapping"] for r in report) == len({b for _, b in want})
 
 
 # 2: grouping

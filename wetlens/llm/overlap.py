@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wetlens.functions.geo import position
 from wetlens.functions.paths import canonical_path
+from wetlens.operators import skew
 from wetlens.plans import oracle
 from wetlens.session import load, written
 
@@ -18,17 +19,17 @@ CELL = 8.0
 HOT = 10_000
 
 
-def canonical_records(manifest: DataFrame) -> DataFrame:
-    """(id, held, h1, h2, e, n) of the train and evaluation rows.
+def canonical_records(manifest: DataFrame, *more: str) -> DataFrame:
+    """(id, held, h1, h2, e, n) and ``more`` columns of the train and evaluation rows.
 
     ``h1, h2``: 96 bits of hash of the canonical path, NULL without a path or a blank one; ``e, n``: the
     position, NULL without one.  Rows of other or no splits are left out.
     """
     s = manifest.select(
-        F.col("row_idx").cast("long").alias("id"), F.col("subset").isin(*EVAL).alias("held"), canonical_path(F.col("path")).alias("p"), position(F.col("x"), F.col("y")).alias("at"), F.col("subset")
+        F.col("row_idx").cast("long").alias("id"), F.col("subset").isin(*EVAL).alias("held"), canonical_path(F.col("path")).alias("p"), position(F.col("x"), F.col("y")).alias("at"), F.col("subset"), *more
     ).filter(F.col("subset").isin(*TRAIN, *EVAL))
     has = F.col("p").isNotNull() & (F.col("p") != "")
-    return s.select("id", "held", F.when(has, F.xxhash64("p")).alias("h1"), F.when(has, F.hash("p").bitwiseAND(2**31 - 1)).alias("h2"), F.col("at.e").alias("e"), F.col("at.n").alias("n"))
+    return s.select("id", "held", F.when(has, F.xxhash64("p")).alias("h1"), F.when(has, F.hash("p").bitwiseAND(2**31 - 1)).alias("h2"), F.col("at.e").alias("e"), F.col("at.n").alias("n"), *more)
 
 
 def _keyed(rec: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
@@ -76,18 +77,44 @@ def overlap_pairs(manifest: DataFrame, radius: float = RADIUS, hot: int = HOT) -
     return both.filter(near == (F.col("k2") == -1)).select(F.col("t.id").alias("train_id"), F.col("h.id").alias("held_id"))
 
 
-def overlap_report(manifest: DataFrame, pairs: DataFrame) -> DataFrame:
+def _counted(rows: DataFrame, held: DataFrame, counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` with the count of their keys, 0 where there is none; keys of very many rows of ``held`` are dealt to parts."""
+    hot = None
+    if held.count() > skew.HOT:
+        hot = written(held.filter(F.col(keys[0]).isNotNull()).groupBy(*keys).count().filter(F.col("count") > skew.HOT), "hot")
+    return skew.join_hot(rows, counts, keys, hot, "id").withColumn(name, F.coalesce("t", F.lit(0))).drop("t")
+
+
+def _near_counts(train: DataFrame, held: DataFrame, keys: list[str], radius: float) -> DataFrame:
+    """(keys, e, n, t): train rows of equal keys within the radius of each place; both sides are distinct, train with t rows.
+
+    Places meet by the cells of :func:`_keyed`.  What is joined are distinct places, so rows at one place count once.
+    """
+    cell = lambda c: F.floor(c / F.lit(CELL)).cast("long")
+    around = F.flatten(F.transform(F.sequence(cell(F.col("e") - radius), cell(F.col("e") + radius)), lambda cx: F.transform(F.sequence(cell(F.col("n") - radius), cell(F.col("n") + radius)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+    a = held.withColumn("c", F.explode(around)).select(*keys, "e", "n", "c.cx", "c.cy")
+    b = train.select(*keys, F.col("e").alias("te"), F.col("n").alias("tn"), "t", cell(F.col("e")).alias("cx"), cell(F.col("n")).alias("cy"))
+    d2 = (F.col("e") - F.col("te")) ** 2 + (F.col("n") - F.col("tn")) ** 2
+    return a.join(b, [*keys, "cx", "cy"]).filter(d2 <= radius * radius).groupBy(*keys, "e", "n").agg(F.sum("t").alias("t"))
+
+
+def overlap_report(manifest: DataFrame, radius: float = RADIUS) -> DataFrame:
     """(subset, source, n_rows, n_overlapping, n_pairs) of the evaluation splits.
 
-    Matches are counted per evaluation row before any join, so no pair is shuffled twice.
+    The pairs of :func:`overlap_pairs` are counted, not listed: for each evaluation row the train rows of its
+    file, and those near its place, less those that are both.
     """
-    per = pairs.groupBy("held_id").agg(F.count("*").alias("m"))
-    rows = manifest.filter(F.col("subset").isin(*EVAL)).select(F.col("row_idx").alias("held_id"), "subset", "source")
-    return (
-        rows.join(per, "held_id", "left")
-        .groupBy("subset", "source")
-        .agg(F.count("*").alias("n_rows"), F.count("m").alias("n_overlapping"), F.coalesce(F.sum("m"), F.lit(0)).alias("n_pairs"))
-    )
+    rec = written(canonical_records(manifest.withColumn("_subset", F.col("subset")).withColumn("_source", F.col("source")), "_subset", "_source"), "records")
+    train, held = rec.filter("not held"), rec.filter("held")
+    file, place = ["h1", "h2"], ["e", "n"]
+    per = lambda keys: train.filter(F.col(keys[0]).isNotNull() & F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(F.count("*").alias("t"))
+    of = lambda keys: held.filter(F.col(keys[0]).isNotNull() & F.col(keys[-1]).isNotNull()).select(*keys).distinct()
+    both = [*file, *place]
+    rows = _counted(held, held, per(file), file, "by_file")
+    rows = _counted(rows, held, _near_counts(per(place), of(place), [], radius), place, "by_place")
+    rows = _counted(rows, held, _near_counts(per(both), of(both), file, radius), both, "by_both")
+    pairs = F.col("by_file") + F.col("by_place") - F.col("by_both")
+    return rows.groupBy(F.col("_subset").alias("subset"), F.col("_source").alias("source")).agg(F.count("*").alias("n_rows"), F.count_if(pairs > 0).alias("n_overlapping"), F.sum(pairs).alias("n_pairs"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +124,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps per evaluation subset and source."""
-    m = load(spark, sf_dir, "manifest")
-    return overlap_report(m, overlap_pairs(m))
+    return overlap_report(load(spark, sf_dir, "manifest"))
 
 
 _FOUND = f"""{oracle.POSITION}, {oracle.near_sql(RADIUS)},
