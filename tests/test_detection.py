@@ -194,6 +194,18 @@ def test_dense_features_equal_direct_ones(spark):
         assert np.allclose(got[i, j], direct(own) + direct(ctx), atol=1e-6)
 
 
+def test_patches_cut_in_the_decoding_task(spark, tmp_path):
+    """The same features as those of pixel rows."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (3, 150, 210)).astype(np.uint8)
+    np.save(tmp_path / "a.npy", a)
+    path = f"file:{tmp_path}/a.npy"
+    want = {(x["pr"], x["pc"]): x["features"] for x in blocks.dense_features(rasters(spark, (path, 3067, 0.0, 150.0, 1.0, 210, 150, 3)), px(spark, a, path)).collect()}
+    places = spark.createDataFrame([(path, r, c) for r, c in want if (r, c) != (1, 1)], "path string, pr int, pc int")
+    got = {(x["pr"], x["pc"]): x["features"] for x in cuts.patches(spark, str(tmp_path), places).collect()}
+    assert set(got) == set(want) - {(1, 1)} and all(np.allclose(got[k], want[k], atol=1e-9) for k in got)
+
+
 def test_detect_on_files(spark, tmp_path):
     """Rasters on disk to KML: a wet square in dry land is found by the forest."""
     rng = np.random.default_rng(0)
@@ -502,6 +514,7 @@ def test_commands_end_to_end(spark, tmp_path, capsys, monkeypatch):
     cnn, rf = ("--cnn-model", tmp_path / "cnn", "--norm-stats", tmp_path / "n.json"), ("--rf-model", tmp_path / "rf")
     text = run("detect", "--imagery", tmp_path / "img", "--output", tmp_path / "o.kml", "--method", "both", *rf, *cnn, "--windows")
     assert "windows passed" in text and "placemarks" in text and (tmp_path / "o.kml").exists()
+    assert "patches to be scored" in run("detect", "--imagery", tmp_path / "img", "--output", tmp_path / "p.kml", *rf)
     text = run("evaluate", "--manifest", tmp_path / "m.csv", "--chips", tmp_path / "chips", *rf, *cnn, "--test-fraction", 0.5)
     assert "rf" in text and "cnn" in text
     run("embed", "--chips", tmp_path / "chips", "--output", tmp_path / "e", "--norm-stats", tmp_path / "n.json")

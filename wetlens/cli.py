@@ -156,7 +156,9 @@ def detect(spark: SparkSession, args) -> None:
     if args.method in ("rf", "both"):
         model = RandomForestClassificationModel.load(args.rf_model)
         if patch:
-            rf = pipeline.detect_dense(r, files.pixels(spark, args.imagery), lambda f: forest.predict(model, f), segments, args.threshold)
+            places = written(pipeline.masked_patches(r, segments), "patches")
+            print(f"{places.count()} patches to be scored")
+            rf = pipeline.detect_patches(r, forest.predict(model, cuts.patches(spark, args.imagery, places)), args.threshold)
         else:
             w, chips = _windows(spark, args, r, segments)
             rf = pipeline.detect_scored(r, w, forest.predict(model, cuts.features(chips)), args.threshold)

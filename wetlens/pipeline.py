@@ -59,14 +59,24 @@ def detect_scored(rasters: DataFrame, w: DataFrame, scored: DataFrame, threshold
     return cells.join(found, ["path", "comp"])
 
 
+def masked_patches(rasters: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """path, pr, pc of the 64-pixel patches near watercourses, or of all without any."""
+    w = masked_windows(rasters, segments, erode=False, size=PATCH, stride=PATCH)
+    return w.select("path", (F.col("row_off") / PATCH).cast("int").alias("pr"), (F.col("col_off") / PATCH).cast("int").alias("pc"))
+
+
 def detect_dense(rasters: DataFrame, pixels: DataFrame, score, segments: DataFrame | None = None, threshold: float = THRESHOLD, min_area: float = MIN_AREA_M2) -> DataFrame:
-    """Regions from 64-pixel patches: path, comp, area_m2, confidence, and their cells r, c.
+    """:func:`detect_patches` with features made of pixel rows.  ``score`` adds p1."""
+    wanted = blocks.dense_features(rasters, pixels).join(masked_patches(rasters, segments), ["path", "pr", "pc"], "left_semi")
+    return detect_patches(rasters, score(wanted), threshold, min_area)
+
+
+def detect_patches(rasters: DataFrame, scored: DataFrame, threshold: float = THRESHOLD, min_area: float = MIN_AREA_M2) -> DataFrame:
+    """Regions of scored 64-pixel patches (path, pr, pc, p1): path, comp, area_m2, confidence, and their cells r, c.
 
-    One row per cell.  ``score`` adds p1.
+    One row per cell.
     """
-    w = masked_windows(rasters, segments, erode=False, size=PATCH, stride=PATCH).select("path", (F.col("row_off") / PATCH).cast("int").alias("pr"), (F.col("col_off") / PATCH).cast("int").alias("pc"))
-    scored = score(blocks.dense_features(rasters, pixels).join(w, ["path", "pr", "pc"], "left_semi")).select("path", F.col("pr").alias("r"), F.col("pc").alias("c"), F.col("p1").alias("p"))
-    scored = written(scored, "scores")
+    scored = written(scored.select("path", F.col("pr").alias("r"), F.col("pc").alias("c"), F.col("p1").alias("p")), "scores")
     out = None
     for (res,) in rasters.select("res").distinct().collect():
         mine = scored.join(rasters.filter(F.col("res") == res).select("path"), "path", "left_semi")
