@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wetlens.constants import EXCLUDED_TYPES, FEW_POSITIVES, MIN_AREA_M2, PATCH, SEED, STRIDE, TEST_SHARE, THRESHOLD, TILE
@@ -14,6 +13,7 @@ from wetlens.models import forest
 from wetlens.operators import blocks, chips, evaluation, regions
 from wetlens.operators.agreement import merge_regions
 from wetlens.operators.negatives import extents, sample
+from wetlens.operators.ordering import numbered
 from wetlens.operators.windows import masked_windows
 from wetlens.session import written
 
@@ -110,8 +110,8 @@ def patches(found: DataFrame, rasters: DataFrame) -> DataFrame:
 def both_models(rf: DataFrame, cnn: DataFrame, rasters: DataFrame) -> DataFrame:
     """roi_idx, region, geom, confidence, area_m2, model_type of both models' regions reconciled."""
     facts, cells = merge_regions(rf, cnn, rasters)
-    numbered = facts.withColumn("comp", F.xxhash64("path", "roi").bitwiseAND(2**62 - 1))
-    return outlined(cells.join(numbered, ["path", "roi"]), rasters, PATCH, None)
+    named = facts.withColumn("comp", F.xxhash64("path", "roi").bitwiseAND(2**62 - 1))
+    return outlined(cells.join(named, ["path", "roi"]), rasters, PATCH, None)
 
 
 def training_set(rasters: DataFrame, labels: DataFrame, segments: DataFrame | None = None, n_negatives: int | None = None, seed: int = SEED, excluded: tuple[str, ...] = EXCLUDED_TYPES) -> DataFrame:
@@ -122,14 +122,13 @@ def training_set(rasters: DataFrame, labels: DataFrame, segments: DataFrame | No
     positives unless given.
     """
     positive = labels.filter(~F.col("feature_type").isin(*excluded)).select("x", "y", "feature_type")
-    positive = written(positive.withColumn("seq", F.row_number().over(W.orderBy("x", "y", "feature_type")) - 1), "positives")
+    positive = written(numbered(positive, ["x", "y", "feature_type"], "seq"), "positives")
     n = positive.count() if n_negatives is None else n_negatives
     negative = sample(rasters, segments, n, seed).select("x", "y", F.lit("negative").alias("feature_type"), "seq")
     points = positive.withColumn("kind", F.lit(0)).unionByName(negative.withColumn("kind", F.lit(1)))
     points = written(points.withColumn("id", F.col("kind").cast("long") * 2**40 + F.col("seq")), "points")
     c = chips.centred(points, rasters).join(points, "id").withColumn("label", L.label(F.col("feature_type")))
-    order = W.orderBy("path", "kind", "seq")
-    return c.select((F.row_number().over(order) - 1).cast("long").alias("row_idx"), "path", chips.chip_name(F.col("path"), F.col("label"), F.col("seq")).alias("chip"), "label", "feature_type", "x", "y", "row_off", "col_off")
+    return numbered(c, ["path", "kind", "seq"], "row_idx").select("row_idx", "path", chips.chip_name(F.col("path"), F.col("label"), F.col("seq")).alias("chip"), "label", "feature_type", "x", "y", "row_off", "col_off")
 
 
 def chip_features(pixels: DataFrame, chip_rows: DataFrame) -> DataFrame:

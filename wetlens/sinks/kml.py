@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from wetlens.constants import MODEL_COLOURS, TIER_COLOURS
 from wetlens.functions.geo import to_lonlat
 from wetlens.functions.labels import tier
+from wetlens.operators.ordering import numbered
 
 NAMESPACE = "http://www.opengis.net/kml/2.2"
 
@@ -56,10 +57,7 @@ def placemarks(rois: DataFrame, order: str) -> DataFrame:
 
     Numbers run from 1 in the order given.  Holes are not written.
     """
-    from pyspark.sql import Window as W
-
-    numbered = rois.withColumn("number", F.row_number().over(W.orderBy(order)))
-    return numbered.select("number", *fields(F.col("number"), F.col("confidence"), F.col("area_m2"), F.col("model_type")), ring_text(F.col("geom")).alias("coordinates"))
+    return numbered(rois, [order], "number").withColumn("number", F.col("number") + 1).select("number", *fields(F.col("number"), F.col("confidence"), F.col("area_m2"), F.col("model_type")), ring_text(F.col("geom")).alias("coordinates"))
 
 
 def styles() -> str:
