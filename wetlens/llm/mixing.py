@@ -16,6 +16,8 @@ TOLERANCE = 1e-7
 ROUNDS = 500
 #: Classes of the rounding's correction; two passes tell apart a millionth of a copy.
 CLASSES = 1024
+#: Documents per cell that make up what is still missing after that.
+LAST = 4
 _EMPTY = -745.0
 
 
@@ -81,7 +83,7 @@ def _cells(tokens: dict, mixes: list, total: int | None) -> dict:
 
 
 def _shift(docs: DataFrame, cells: dict) -> dict:
-    """Per cell a sign and a bound: documents nearest to their next copy, up to the bound, get or lose one.
+    """Per cell a sign, a bound and the tokens still missing: documents nearest to their next copy, up to the bound, get or lose one.
 
     ``docs`` has mix_id, source, n_tokens, copies, x (rate plus hash) and cap.  Sums by
     class of distance reach the driver, a fixed number per cell, never documents.
@@ -89,8 +91,10 @@ def _shift(docs: DataFrame, cells: dict) -> dict:
     spark = docs.sparkSession
     now = {(r["mix_id"], r["source"]): r["t"] for r in docs.groupBy("mix_id", "source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("t")).collect()}
     miss = {k: c["target"] - now.get(k, 0) for k, c in cells.items()}
-    sign = spark.createDataFrame([(m, s, 1 if d > 0 else -1) for (m, s), d in miss.items()], "mix_id int, source string, sign int")
+    way = {k: 1 if d > 0 else -1 for k, d in miss.items()}
+    sign = spark.createDataFrame([(m, s, d) for (m, s), d in way.items()], "mix_id int, source string, sign int")
     near = docs.join(F.broadcast(sign), ["mix_id", "source"]).select("mix_id", "source", "n_tokens", distance(F.col("sign")).alias("v")).filter("v is not null")
+    miss = {k: abs(d) for k, d in miss.items()}
     base, width = {k: 0.0 for k in cells}, 1.0
     for _ in range(2):
         rows = spark.createDataFrame([(m, s, b) for (m, s), b in base.items()], "mix_id int, source string, base double")
@@ -100,20 +104,47 @@ def _shift(docs: DataFrame, cells: dict) -> dict:
         for r in sums:
             by.setdefault((r["mix_id"], r["source"]), {})[r["c"]] = r["t"]
         for k in base:
-            need, at = abs(miss[k]), 0
+            need, at = miss[k], 0
             for c in sorted(by.get(k, {})):
                 t = by[k][c]
                 # the first pass stops before the class that is too much, and the second one looks inside it
-                if t > need and (width == 1.0 or t - need > need):
+                if t > need:
                     at = c
                     break
                 need, at = need - t, c + 1
                 if need <= 0:
                     break
-            miss[k] = math.copysign(max(need, 0.0), miss[k])
+            miss[k] = max(need, 0.0)
             base[k] += at * width / CLASSES
         width /= CLASSES
-    return {k: (1 if miss[k] > 0 or math.copysign(1, miss[k]) > 0 else -1, b) for k, b in base.items()}
+    return {k: (way[k], b, miss[k]) for k, b in base.items()}
+
+
+def _last(docs: DataFrame, shift: dict) -> list[tuple[int, int]]:
+    """(mix_id, doc_id) of up to ``LAST`` documents per cell that take what is still missing best.
+
+    In each turn every cell takes the one document, of those that may still move, whose size is
+    nearest to the need, if that makes the need smaller; one row per cell reaches the driver.
+    """
+    spark = docs.sparkSession
+    need = {k: n for k, (_, _, n) in shift.items() if n > 0}
+    taken: list[tuple[int, int]] = []
+    for _ in range(LAST):
+        if not need:
+            break
+        rows = spark.createDataFrame([(m, s, shift[m, s][0], shift[m, s][1], float(n)) for (m, s), n in need.items()], "mix_id int, source string, sign int, bound double, need double")
+        gone = spark.createDataFrame(taken, "mix_id int, doc_id long")
+        miss = F.abs(F.col("n_tokens") - F.col("need"))
+        free = docs.join(F.broadcast(rows), ["mix_id", "source"]).filter((distance(F.col("sign")) >= F.col("bound")) & (miss < F.col("need"))).join(F.broadcast(gone), ["mix_id", "doc_id"], "left_anti")
+        got = free.groupBy("mix_id", "source").agg(F.min(F.struct(miss.alias("miss"), F.col("doc_id").alias("doc_id"), F.col("n_tokens").alias("t"))).alias("b")).collect()
+        new = {}
+        for r in got:
+            k, b = (r["mix_id"], r["source"]), r["b"]
+            taken.append((r["mix_id"], b["doc_id"]))
+            if need[k] > b["t"]:
+                new[k] = need[k] - b["t"]
+        need = new
+    return taken
 
 
 def distance(sign):
@@ -131,7 +162,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataF
     or have no share, get nothing, and the other shares are met among themselves.
     Rates minimise the relative entropy to one copy each under the token constraints,
     capped at max_repeat; they are rounded by a hash of mix and document, and the
-    documents nearest to their next copy then make up what a source lacks or exceeds.
+    documents nearest to their next copy then make up what a source lacks or exceeds; the last few are chosen by size.
     """
     s = written(sizes.filter("n_tokens > 0 and source is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "n_tokens"), "sizes")
     histogram = written(s.groupBy("source", "n_tokens").agg(F.count("*").alias("n")), "histogram")
@@ -149,9 +180,10 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataF
     docs = s.join(F.broadcast(rates), "source").withColumn("x", rate + unit).withColumn("copies", F.least(F.col("cap"), F.floor("x")).cast("int"))
     docs = written(docs.select("mix_id", "doc_id", "source", "n_tokens", "cap", "x", "copies"), "rates")
     shift = _shift(docs, cells)
-    moves = spark.createDataFrame([(m, s_, g, b) for (m, s_), (g, b) in shift.items()], "mix_id int, source string, sign int, bound double")
-    d = docs.join(F.broadcast(moves), ["mix_id", "source"])
-    moved = F.col("copies") + F.when(F.coalesce(distance(F.col("sign")) < F.col("bound"), F.lit(False)), F.col("sign")).otherwise(F.lit(0))
+    moves = spark.createDataFrame([(m, s_, g, b) for (m, s_), (g, b, _) in shift.items()], "mix_id int, source string, sign int, bound double")
+    last = spark.createDataFrame(_last(docs, shift), "mix_id int, doc_id long").withColumn("last", F.lit(True))
+    d = docs.join(F.broadcast(moves), ["mix_id", "source"]).join(F.broadcast(last), ["mix_id", "doc_id"], "left")
+    moved = F.col("copies") + F.when(F.coalesce(distance(F.col("sign")) < F.col("bound"), F.lit(False)) | F.col("last").isNotNull(), F.col("sign")).otherwise(F.lit(0))
     return d.select("mix_id", "doc_id", "source", "n_tokens", moved.alias("copies")).filter("copies > 0")
 
 
